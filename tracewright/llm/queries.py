@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, substring_dedup
+from . import chat, mixing, ngram_join, sharding, substring_dedup
 from .common import table
 
 
@@ -14,13 +14,97 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_byte_prefix_sharding": op3_byte_prefix_sharding,
+    "op5_source_mixing": op5_source_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_byte_prefix_sharding": """
+        WITH crc AS (
+            SELECT list(v ORDER BY i) AS t FROM (
+                SELECT i, list_reduce([i::BIGINT] || range(8)::BIGINT[],
+                    lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+                FROM range(256) r(i))
+        ), d AS (
+            SELECT doc_id, (COALESCE(octet_length(encode(text)), 0) + 16)::BIGINT AS size, hex(encode(COALESCE(text, ''))) AS x
+            FROM documents
+        ), s AS (
+            SELECT doc_id, size, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(
+                    regexp_extract_all(x, '..'), lambda b: ('0x' || b)::BIGINT),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32
+            FROM d, crc
+        ), p AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+                sum(size) OVER () AS total
+            FROM s
+        ), q AS (
+            SELECT *, least(39, ((2 * before + size) * 40) // (2 * total))::INTEGER AS shard FROM p
+        )
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+            (row_number() OVER (PARTITION BY shard ORDER BY before) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+        FROM q
+    """,
+    "op5_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source,
+                COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || ' mix'), 1, 8))::BIGINT >> 2 AS h
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w
+            FROM d GROUP BY source
+        ), levels AS (
+            SELECT s.*, (SELECT sum(source_size) * 1.5 - sum(CASE WHEN o.source_size * 2 / o.w < s.source_size * 2 / s.w THEN 2 * o.source_size ELSE 0 END) FROM s o) AS room,
+                (SELECT sum(CASE WHEN o.source_size * 2 / o.w < s.source_size * 2 / s.w THEN 0 ELSE o.w END) FROM s o) AS ws
+            FROM s
+        ), level AS (
+            SELECT arg_max(room::DOUBLE / ws, ws) AS level FROM levels WHERE room * w < 2 * source_size * ws
+        ), t AS (
+            SELECT source, source_size, least(2.0 * source_size, COALESCE(level * w, 2.0 * source_size))::DOUBLE AS target
+            FROM s, level
+        ), r AS (
+            SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), c AS (
+            SELECT *, (CASE WHEN upto <= floor(least(target, source_size)) THEN 1 ELSE 0 END
+                + CASE WHEN upto <= floor(greatest(target - source_size, 0)) THEN 1 ELSE 0 END)::INTEGER AS copies
+            FROM r
+        )
+        SELECT doc_id, size, source, source_size, round(target, 3) AS target, copies, (size * copies)::BIGINT AS taken FROM c
+    """,
+    "op9_chat_formatting": """
+        WITH k AS (
+            SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS said
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), one AS (
+            SELECT min(conv_id) AS conv_id, said, count(*) AS n_same FROM k GROUP BY said
+        ), inner_ AS (
+            SELECT DISTINCT said[1:i] AS said FROM k, unnest(range(1, len(said))) AS u(i)
+        )
+        SELECT conv_id, len(said)::BIGINT AS n_turns, n_same::BIGINT AS n_same,
+            list_aggregate(list_transform(said, lambda x: '<|im_start|>' || COALESCE(x.r, '') || chr(10)
+                || COALESCE(x.t, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
+        FROM one WHERE said NOT IN (SELECT said FROM inner_)
+    """,
+}
