@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, ngram_join, sharding, substring_dedup
+from . import chat, mixing, ngram_join, pii, sharding, substring_dedup
 from .common import table
 
 
+#: A key for the registered query; production passes its own secret.
+PSEUDONYM_KEY = "corpus-1"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_byte_prefix_sharding": op3_byte_prefix_sharding,
     "op5_source_mixing": op5_source_mixing,
