@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, ngram_join, pii, sharding, substring_dedup
+from . import chat, mixing, ngram_join, pii, sharding, substring_dedup, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_byte_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_byte_prefix_sharding": op3_byte_prefix_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_chat_formatting": op9_chat_formatting,
