@@ -1,10 +1,13 @@
 """Operator 2: exact Jaccard self-join of word n-gram sets by universe-partition pigeonhole.
 
-``signatures`` (see ``jaccard_kernel``) are dealt by their hash; texts that share
-one are compared exactly. Buckets of up to ``SMALL`` sets compare all their
-pairs. A larger bucket compares all with its least set; once components are
-known, only its pairs between different components are left and are compared
-too, so a large group of copies costs a star and no link is lost.
+``signatures`` (see ``jaccard_kernel``) are dealt by their hash; sets that share
+one are candidates. A parity sketch of each set (bit i: whether an odd number of
+its hashes fall on i) bounds the symmetric difference from below, so pairs it
+rules out are no links; the rest are compared exactly from their whole texts.
+Buckets of up to ``SMALL`` sets compare all their pairs. A larger bucket first
+compares all with its least set; once components are known, only its pairs
+between different components are left and are compared too, so a large group of
+copies costs a star and no link is lost.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; a text with fewer words than ``k`` is one shingle; equal sets are one
@@ -27,7 +30,12 @@ from . import kernels as K
 from .common import components, materialize, shuffle_partitions
 from .jaccard_kernel import Bands, signatures
 
-SMALL = 32
+#: Sets of a bucket up to which its pairs are made at once, and in a join.
+TINY, SMALL = 4, 64
+#: Signatures that one task sorts.
+PART_SIGNATURES = 3_000_000
+#: Longs of a parity sketch.
+SKETCH = 8
 #: Documents in the sample that names popular shingles, how many of them make
 #: one popular, and how many are named at most. They steer cost, not results.
 SAMPLE_DOCS, POPULAR_AT, POPULAR_MOST = 20_000, 4, 65_536
@@ -50,18 +58,29 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, K.shingle_set(hashed[first[i] : first[i + 1]], k)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens that hash to each of 64 * SKETCH bits."""
+    bits = np.bincount((K.mix(tokens + K.U64(0xC2B2AE35)) >> K.U64(33)) % K.U64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+
+
 def shingle_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, node) of ``docs(id, text)``: set size, and the key of the set (null if empty)."""
+    """(id, n, node, s0 ...) of ``docs(id, text)``: set size, key of the set (null if empty), its sketch."""
 
     def rows(batches):
         for batch in batches:
-            n, key = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, key, bits = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, np.zeros((SKETCH, batch.num_rows), np.int64)
             for i, tokens in _sets(batch.column("text"), k):
                 n[i] = len(tokens)
                 key[i] = set_key(tokens) if len(tokens) else None
-            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(key, pa.int64())], ["id", "n", "node"])
+                bits[:, i] = sketch(tokens)
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(key, pa.int64()), *(pa.array(x) for x in bits)], ["id", "n", "node", *SKETCHES])
 
-    return docs.mapInArrow(rows, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long")
+    longs = ", ".join(f"{x} long" for x in SKETCHES)
+    return docs.mapInArrow(rows, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, {longs}")
 
 
 def popular_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -83,13 +102,17 @@ def popular_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """Signatures dealt to ``parts`` parts: (part, node, packed signatures)."""
+    """Signatures dealt to ``parts`` parts: (part, node, n, packed signatures)."""
     popular = docs.sparkSession.sparkContext.broadcast(popular_shingles(docs, k))
 
+    def rows_of(part, node, size, packed):
+        columns = [*(pa.array(np.concatenate(x)) for x in (part, node, size)), pa.array(packed, pa.binary())]
+        return pa.record_batch(columns, ["part", "node", "n", "sigs"])
+
     def rows(batches):
         bands, seen = Bands(num, den), set()
         for batch in batches:
-            part, node, packed = [], [], []
+            part, node, size, packed = [], [], [], []
             for _, tokens in _sets(batch.column("text"), k):
                 if len(tokens) == 0 or (key := set_key(tokens)) in seen:
                     continue
@@ -101,61 +124,104 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame
                 at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
                 part.append(to[at].astype(np.int32))
                 node.append(np.full(len(at), key, np.int64))
+                size.append(np.full(len(at), len(tokens), np.int32))
                 raw, ends = sig.tobytes(), np.append(at[1:], len(sig)) * 8
                 packed.extend(raw[a:b] for a, b in zip((at * 8).tolist(), ends.tolist(), strict=True))
                 if len(packed) > 200_000:
-                    yield pa.record_batch([pa.array(np.concatenate(part)), pa.array(np.concatenate(node)), pa.array(packed, pa.binary())], ["part", "node", "sigs"])
-                    part, node, packed = [], [], []
+                    yield rows_of(part, node, size, packed)
+                    part, node, size, packed = [], [], [], []
             if packed:
-                yield pa.record_batch([pa.array(np.concatenate(part)), pa.array(np.concatenate(node)), pa.array(packed, pa.binary())], ["part", "node", "sigs"])
+                yield rows_of(part, node, size, packed)
 
-    return docs.mapInArrow(rows, "part int, node long, sigs binary").repartitionById(parts, "part")
+    return docs.mapInArrow(rows, "part int, node long, n int, sigs binary").repartitionById(parts, "part")
 
 
-def _bucket_pairs(batches):
-    """Of one part: (bucket null, a, b) to compare, and (bucket, node, null) of the large buckets."""
-    nodes, sigs = [], []
-    for batch in batches:
-        packed = batch.column("sigs")
-        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
-        sigs.append(np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(K.U64) if len(packed) else np.zeros(0, K.U64))
-        nodes.append(np.repeat(batch.column("node").to_numpy(), np.diff(offsets) // 8))
-    if not nodes:
-        return
-    node, sig = np.concatenate(nodes), np.concatenate(sigs)
+def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int):
+    """Batches (bucket, a, b): null, a, b are pairs of tiny buckets; bucket, a, null members of larger ones.
+
+    Pairs whose sizes ``n`` are too far apart for a similarity of num/den are left out.
+    """
     order = np.argsort(sig, kind="stable")
-    node, sig = node[order], sig[order]
+    node, n, sig = node[order], n[order], sig[order]
     same = sig[1:] == sig[:-1]
     held = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    node, sig = node[held], sig[held]
+    node, n, sig = node[held], n[held], sig[held]
     order = np.lexsort((node, sig))
-    node, sig = node[order], sig[order]
+    node, n, sig = node[order], n[order], sig[order]
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    node, sig = node[fresh], sig[fresh]
+    node, n, sig = node[fresh], n[fresh], sig[fresh]
     if len(sig) == 0:
         return
     at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(at, len(sig)))
     # buckets with the same members say the same: one of each is enough
-    _, once = np.unique(np.add.reduceat(K.mix(node.view(K.U64)), at) + size.astype(K.U64), return_index=True)
+    content = K.mix(np.add.reduceat(K.mix(node.view(K.U64)), at) + size.astype(K.U64))
+    content, once = np.unique(content, return_index=True)
     at, size = at[once], size[once]
-    left, right = [], []
-    for s in np.unique(size[(size > 1) & (size <= SMALL)]):
+    found = []
+    for s in range(2, TINY + 1):
         i, j = np.triu_indices(s, 1)
-        group = node[at[size == s][:, None] + np.arange(s)]
-        left.append(group[:, i].ravel())
-        right.append(group[:, j].ravel())
-    big = size > SMALL
-    for a, s in zip(at[big], size[big], strict=True):
-        left.append(np.full(s - 1, node[a]))
-        right.append(node[a + 1 : a + s])
-        yield pa.record_batch([pa.array(np.full(s, sig[a].view(np.int64))), pa.array(node[a : a + s]), pa.nulls(int(s), pa.int64())], ["bucket", "a", "b"])
-    if left:
-        pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), 1), axis=0)
-        for lo in range(0, len(pairs), 100_000):
-            some = pairs[lo : lo + 100_000]
-            yield pa.record_batch([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], ["bucket", "a", "b"])
+        places = at[size == s][:, None] + np.arange(s)
+        left, right = places[:, i].ravel(), places[:, j].ravel()
+        fits = np.minimum(n[left], n[right]) * den >= num * np.maximum(n[left], n[right])
+        found.append(np.stack((node[left[fits]], node[right[fits]]), 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    for lo in range(0, len(pairs), 100_000):
+        some = pairs[lo : lo + 100_000]
+        yield pa.record_batch([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], ["bucket", "a", "b"])
+    large = size > TINY
+    at, size, name = at[large], size[large], K.signed(content[large])
+    for lo in range(0, len(at), 10_000):
+        some = size[lo : lo + 10_000]
+        place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(at[lo : lo + 10_000], some)
+        members = pa.array(node[place])
+        yield pa.record_batch([pa.array(np.repeat(name[lo : lo + 10_000], some)), members, pa.nulls(len(place), pa.int64())], ["bucket", "a", "b"])
+
+
+def _bucket_pairs(num: int, den: int):
+    """Of one part: (null, a, b) to compare from tiny buckets, (bucket, a, null) of members of larger ones."""
+
+    def rows(batches):
+        nodes, sizes, sigs = [], [], []
+        for batch in batches:
+            packed = batch.column("sigs")
+            offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+            if len(packed) == 0:
+                continue
+            sigs.append(np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(K.U64).copy())
+            count = np.diff(offsets) // 8
+            nodes.append(np.repeat(batch.column("node").to_numpy(), count))
+            sizes.append(np.repeat(batch.column("n").to_numpy(), count))
+        if not nodes:
+            return
+        yield from pair_buckets(np.concatenate(nodes), np.concatenate(sizes).astype(np.int64), np.concatenate(sigs), num, den)
+
+    return rows
+
+
+def _possible(num: int, den: int) -> F.Column:
+    """Whether sizes na, nb and sketches a0 ..., b0 ... leave a pair the chance to be similar."""
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+
+
+def _sided(sets: DataFrame, side: str) -> DataFrame:
+    return sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(SKETCHES)))
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    both = pairs.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
+    return both.where(_possible(num, den)).select("a", "b")
+
+
+def _member_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible pairs a < b of ``members(bucket, node, root)`` that share a bucket and not a root."""
+    left = members.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(_sided(sets, "a"), "a")
+    right = members.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")).join(_sided(sets, "b"), "b")
+    apart = (left["bucket"] == right["bucket"]) & (left["a"] < right["b"]) & (left["ra"] != right["rb"])
+    return left.join(right, apart & _possible(num, den)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -201,19 +267,29 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = materialize(shingle_sizes(docs, k), "members")
     docs = docs.where("id is not null and text is not null")
-    reps = members.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    found = materialize(_dealt(docs, k, num, den, shuffle_partitions(spark)).mapInArrow(_bucket_pairs, "bucket long, a long, b long"), "candidates")
-    pairs = found.where("bucket is null").select("a", "b").distinct()
+    named = members.where("id is not null and node is not null").groupBy("node")
+    sets = materialize(named.agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SKETCHES)), "sets")
+    reps = sets.select("node", "id")
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, min(-(-shingles * 6 // (10 * PART_SIGNATURES)), max(20_000, shuffle_partitions(spark))))
+    found = _dealt(docs, k, num, den, parts).mapInArrow(_bucket_pairs(num, den), "bucket long, a long, b long")
+    found = materialize(found, "candidates")
+    larger = found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct()
+    larger = materialize(larger.join(larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("hub")), "bucket"), "buckets")
+    pairs = found.where("bucket is null").select("a", "b")
+    pairs = pairs.union(larger.where((F.col("k") > SMALL) & (F.col("node") != F.col("hub"))).select("hub", "node"))
+    pairs = _likely(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, num, den)
+    own = larger.where(F.col("k") <= SMALL).select("bucket", "node", F.col("node").alias("root"))
+    pairs = materialize(pairs.union(_member_pairs(own, sets, num, den)).distinct(), "likely")
     links = _verified(pairs, docs, reps, k, num, den)
-    large = found.where("bucket is not null").select("bucket", F.col("a").alias("node"))
+    large = larger.where(F.col("k") > SMALL).select("bucket", "node")
     if not large.isEmpty():
         root = components(links)
         tagged = large.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         tagged = materialize(tagged.join(mixed, "bucket"), "mixed")
-        left, right = tagged.toDF("bucket", "a", "ra"), tagged.toDF("bucket", "b", "rb")
-        rest = left.join(right, "bucket").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(_verified(rest.join(pairs, ["a", "b"], "left_anti"), docs, reps, k, num, den))
+        rest = _member_pairs(tagged, sets, num, den).join(pairs, ["a", "b"], "left_anti")
+        links = links.union(_verified(rest, docs, reps, k, num, den))
     return members, links
 
 
@@ -237,3 +313,19 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
         F.when(known, F.coalesce("class_id", "id")).alias("class_id"),
         F.when(known, F.coalesce("component_id", "id")).alias("component_id"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all their columns, but of each component only the document with the smallest id.
+
+    Texts without words and rows without an id stay; of rows that repeat an id and a text one stays.
+    """
+    told = materialize(ngram_components(docs, k, num, den, id_col, text_col).select(F.col(id_col).alias("_nj_id"), "component_id"), "components")
+    known = told.where("_nj_id is not null")
+    gone = materialize(known.where("_nj_id <> component_id").select("_nj_id").distinct(), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col] == gone["_nj_id"], "left_anti")
+    twice = materialize(known.groupBy("_nj_id").count().where("count > 1").select("_nj_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, kept[id_col] == twice["_nj_id"], "left_anti")
+    return once.union(kept.join(twice, kept[id_col] == twice["_nj_id"], "left_semi").dropDuplicates([id_col, text_col]))
