@@ -28,6 +28,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,22 +189,27 @@ def _share(grams: np.ndarray, passage: np.ndarray) -> float:
     return len(np.intersect1d(grams, passage, assume_unique=True)) / len(grams) if len(grams) else 1.0
 
 
+def _verified(index: Index, column: pa.Array, threshold: float, overlap: float):
+    """Yield (row, item, first word, score, question share, answer share), the best of each row and item."""
+    for lo, _, data, offsets in K.chunks(column):
+        starts, ends, first = K.words(data, offsets)
+        hashed = K.word_hashes(data, starts, ends, lower=True)
+        best: dict[tuple[int, int], tuple] = {}
+        for row, start, item, score in zip(*(x.tolist() for x in search(index, hashed, first, threshold)), strict=True):
+            words = hashed[first[row] + start : min(first[row] + start + 2 * index.stride, first[row + 1])]
+            q = _share(index.question[item], _part_grams(words, index.question[item]))
+            a = _share(index.answer[item], _part_grams(words, index.answer[item]))
+            if min(q, a) >= overlap and (q + a, score) > best.get((row, item), ((-1.0, -1.0),))[0]:
+                best[row, item] = ((q + a, score), start, score, q, a)
+        for (row, item), (_, *rest) in sorted(best.items()):
+            yield lo + row, item, *rest
+
+
 def _matches(held, threshold: float, overlap: float):
     def rows(batches):
         index: Index = held.value
         for batch in batches:
-            out = []
-            for lo, _, data, offsets in K.chunks(batch.column("text")):
-                starts, ends, first = K.words(data, offsets)
-                hashed = K.word_hashes(data, starts, ends, lower=True)
-                best: dict[tuple[int, int], tuple] = {}
-                for row, start, item, score in zip(*(x.tolist() for x in search(index, hashed, first, threshold)), strict=True):
-                    words = hashed[first[row] + start : min(first[row] + start + 2 * index.stride, first[row + 1])]
-                    q = _share(index.question[item], _part_grams(words, index.question[item]))
-                    a = _share(index.answer[item], _part_grams(words, index.answer[item]))
-                    if min(q, a) >= overlap and (q + a, score) > best.get((row, item), ((-1.0, -1.0),))[0]:
-                        best[row, item] = ((q + a, score), start, score, q, a)
-                out.extend((batch.column("id")[lo + r].as_py(), index.ids[i], s, c, q, a) for (r, i), (_, s, c, q, a) in sorted(best.items()))
+            out = [(batch.column("id")[r].as_py(), index.ids[i], *rest) for r, i, *rest in _verified(index, batch.column("text"), threshold, overlap)]
             if out:
                 ids, items, start, score, q, a = zip(*out, strict=True)
                 yield pa.record_batch(
@@ -268,7 +274,19 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
         yield build_index(shard, longest, df, total, words / total)
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; null ids never match an id."""
-    gone = leaks(docs, benchmark, id_col=id_col).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = RETRIEVE, overlap: float = OVERLAP, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    for index in _indexes(benchmark, item_col, text_col):
+        docs = docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)(F.col(text_col)))
+    return docs
+
+
+def _holds(held, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series) -> pd.Series:
+        found = np.zeros(len(text), bool)
+        for row, *_ in _verified(held.value, pa.Array.from_pandas(text, type=pa.string()), threshold, overlap):
+            found[row] = True
+        return pd.Series(found)
+
+    return holds

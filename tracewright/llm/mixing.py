@@ -4,7 +4,7 @@ Every row has a hash that its id and text decide. Sizes are summed by source and
 leading hash bits; the bucket in which a source's budget ends is the only one
 that is summed again by the next bits, and so on. The result is one hash
 threshold for each source and copy, and a filter takes the rows below it: no
-sort, and a hot source is only a few hundred partial sums from each task.
+sort, and a hot source is only a thousand partial sums from each task.
 Thresholds of the first and second copy are nested by construction.
 
 Defined results: a null or wordless text has size 0 and takes 0; null is a source
@@ -92,26 +92,45 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("source", "copy", F.col("low").alias("below"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source, source_size, target, copies, taken) of every row of ``docs``."""
+def _hash(id_col: str) -> F.Column:
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" mix")))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.conv(F.substring(key, 1, 8), 16, 10).cast("long").alias("h32"),
-    ).select("id", "source", "size", F.shiftright("h32", 32 - sum(LEVELS)).alias("h"))
-    rows = materialize(rows, "sizes")
+    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - sum(LEVELS))
+
+
+def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
+    """(source, b1, b2, source_size, target) of ``rows(source, size, h)``: one row for each source."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share), "targets")
     once = targets.select("source", F.lit(1).alias("copy"), F.floor(F.least("target", F.col("source_size").cast("double"))).cast("long").alias("budget"))
     again = targets.select("source", F.lit(2), F.floor(F.greatest(F.col("target") - F.col("source_size"), F.lit(0.0))).cast("long"))
     found = thresholds(rows, once.union(again))
     # a document is taken twice only if it is taken once: the second threshold is at most the first
-    below = found.groupBy("source").agg(F.max(F.when(F.col("copy") == 1, F.col("below"))).alias("b1"), F.max(F.when(F.col("copy") == 2, F.col("below"))).alias("b2"))
-    below, targets = below.withColumnRenamed("source", "s1"), targets.withColumnRenamed("source", "s2")
-    plan = below.join(targets, below["s1"].eqNullSafe(targets["s2"])).select("s2", "b1", "b2", "source_size", "target")
-    copies = ((F.col("h") < F.col("b1")).cast("int") + (F.col("h") < F.col("b2")).cast("int")).alias("copies")
-    out = rows.join(plan, rows["source"].eqNullSafe(plan["s2"]))  # one row for each source, so Spark broadcasts it while it is small
-    out = out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", F.round("target", 3).alias("target"), copies)
+    below = found.groupBy(F.col("source").alias("s1")).agg(F.max(F.when(F.col("copy") == 1, F.col("below"))).alias("b1"), F.max(F.when(F.col("copy") == 2, F.col("below"))).alias("b2"))
+    return targets.join(below, below["s1"].eqNullSafe(targets["source"])).select("source", "b1", "b2", "source_size", "target")
+
+
+def _copies() -> F.Column:
+    return (F.col("h") < F.col("b1")).cast("int") + (F.col("h") < F.col("b2")).cast("int")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col).alias("h"))
+    return materialize(rows, "sizes")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, size, source, source_size, target, copies, taken) of every row of ``docs``."""
+    rows = _sized(docs, id_col, text_col, source_col)
+    plan = mixing_plan(rows, weights, share).withColumnRenamed("source", "s")
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))  # one row for each source, so Spark broadcasts it while it is small
+    out = out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", F.round("target", 3).alias("target"), _copies().alias("copies"))
     return out.withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    plan = mixing_plan(_sized(docs, id_col, text_col, source_col), weights, share).select(F.col("source").alias("_mix_s"), F.col("b1").alias("_mix_1"), F.col("b2").alias("_mix_2"))
+    plan = materialize(plan, "plan")
+    out = docs.withColumn("_mix_h", _hash(id_col)).join(plan, docs[source_col].eqNullSafe(plan["_mix_s"]))
+    copies = (F.col("_mix_h") < F.col("_mix_1")).cast("int") + (F.col("_mix_h") < F.col("_mix_2")).cast("int")
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("_mix_n")).drop("_mix_n")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontamination, media, mixing, ngram_join, pii, sharding, substring_dedup, toxicity
+from . import chat, decontamination, line_dedup, media, mixing, ngram_join, pii, sharding, substring_dedup, toxicity
 from .common import table
 
 
@@ -50,6 +51,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
