@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back, so lost executors cost no recomputation."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str = "data") -> str:
+    """A new path below spark.checkpoint.dir; a temporary folder only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below spark.checkpoint.dir and read it back, so lost executors cost no recomputation."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

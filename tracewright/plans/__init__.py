@@ -1,4 +1,4 @@
 """Registered queries by operator id, each with SQL for another engine where SQL expresses it."""
 
-from . import aggregates, graphs, joins, windows  # noqa: F401
+from . import aggregates, boundaries, graphs, joins, scalars, streams, windows  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

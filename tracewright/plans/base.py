@@ -47,7 +47,10 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         used = [t for t in TABLES if f"{{{t}}}" in text]
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+        braced = text.replace("{", "{{").replace("}", "}}")
+        for t in used:
+            braced = braced.replace(f"{{{{{t}}}}}", f"{{{t}}}")
+        return spark.sql(braced, **{t: table(spark, sf_dir, t) for t in used})
 
     plain = text
     for t in TABLES:
