@@ -1,0 +1,303 @@
+"""Operators that SQL does not express against plain Python on the smallest tables."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from tracewright.llm import decontamination, flac, jaccard_kernel, kernels, line_dedup, media, ngram_join, pii, recompression, substring_dedup, toxicity
+from tracewright.llm.common import components, table
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+
+
+def words(text):
+    return [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+
+
+def shingles(text, k=5):
+    w = words(text.translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def groups(n, links):
+    up = {i: i for i in n}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in n}
+
+
+def linked(sets, num=75, den=100):
+    at, shared = collections.defaultdict(list), collections.Counter()
+    for i, s in sets.items():
+        for x in s:
+            at[x].append(i)
+    for held in at.values():
+        shared.update(itertools.combinations(held, 2))
+    return [(a, b) for (a, b), n in shared.items() if den * n >= num * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_ngram_components(spark, texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = groups(sets, linked(sets))
+    got = ngram_join.ngram_components(table(spark, SF, "documents")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), want[i]) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("popular_share", [0.0, 0.3, 0.6, 0.9, 1.0])
+def test_similar_sets_share_a_signature(popular_share):
+    """No pair at the threshold may be lost, whatever tokens are popular."""
+    r = np.random.default_rng(int(popular_share * 10))
+    bands = jaccard_kernel.Bands(75, 100)
+    for _ in range(400):
+        n = int(r.integers(1, 90))
+        base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        drop, add = r.integers(0, len(base) // 3 + 1), r.integers(0, len(base) // 3 + 1)
+        other = np.unique(np.concatenate((base[r.permutation(len(base))[drop:]], r.integers(0, 2**63, add).astype(np.uint64))))
+        both = len(np.intersect1d(base, other))
+        if not both or 100 * both < 75 * (len(base) + len(other) - both):
+            continue
+        popular = np.sort(base[r.random(len(base)) < popular_share])
+        a, b = (jaccard_kernel.signatures(x, bands, popular) for x in (base, other))
+        assert len(np.intersect1d(a, b)) > 0
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """With every bucket taken as large, components stay the same."""
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "TINY", 2)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(base) if i % 2 else [f"v{k}" for k in range(30)] + base[:30]
+        for _ in range(r.randrange(0, 3)):
+            w[r.randrange(60)] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = groups(sets, linked(sets))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def repeats_removed(texts, width=20):
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w, gone = words(texts[i]), set()
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            if key in seen:
+                gone.update(range(k, k + width))
+            seen.add(key)
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_repeated_runs(spark, texts):
+    got = substring_dedup.remove_repeats(table(spark, SF, "documents")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == repeats_removed(texts)
+
+
+def test_repeated_runs_of_few_words(spark):
+    r = random.Random(2)
+    rows = {i: " ".join(r.choice("ab" if i % 3 else "abcdefgh") for _ in range(r.randrange(0, 150))) for i in range(30)}
+    rows |= {50: "a " * 200, 51: "a " * 30, 52: "b a " * 40}
+    got = substring_dedup.remove_repeats(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == repeats_removed(rows)
+
+
+def test_anchors_depend_on_the_window_alone():
+    r = np.random.default_rng(1)
+    core = r.integers(0, 50, 60).astype(np.uint64)
+    found = []
+    for pad in (5, 17, 40):
+        w = kernels.mix(np.concatenate((r.integers(100, 150, pad).astype(np.uint64), core, r.integers(100, 150, 9).astype(np.uint64))))
+        p, k, name = recompression.anchors(w, np.zeros(len(w), int), np.array([0, len(w)]), 20)
+        at = {int(a) + j - pad: int(x) for a, n, x in zip(p, k, name, strict=True) for j in range(n)}
+        found.append([at[i] for i in range(41)])
+    assert found[0] == found[1] == found[2]
+
+
+def test_leaks_are_the_whole_items(spark, texts):
+    items = [(r.item_id, " " + " ".join(words(r.text.translate(LOWER))) + " ") for r in table(spark, SF, "benchmark").collect()]
+    want = {(i, k) for i, t in texts.items() for k, x in items if x in " " + " ".join(words(t.translate(LOWER))) + " "}
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(table(spark, SF, "documents"), table(spark, SF, "benchmark")).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
+def test_block_max_loses_nothing():
+    """Every passage and item at the threshold is found, by scores computed the long way."""
+    r = random.Random(8)
+    items = [(i, " ".join(f"t{r.randrange(60)}" for _ in range(r.randrange(3, 25)))) for i in range(70)]
+    df = collections.Counter(int(h) for _, t in items for h in np.unique(decontamination._hashes(t.encode())))
+    mean = sum(len(t.split()) for _, t in items) / 70
+    index = decontamination.build_index(items, 24, df, 70, mean)
+    text = " ".join(" ".join(f"t{r.randrange(60)}" for _ in range(30)) if k % 3 else items[k % 70][1] for k in range(40))
+    hashed = decontamination._hashes(text.encode())
+    got = {(int(s), int(i)) for _, s, i, _ in zip(*decontamination.search(index, hashed, np.array([0, len(hashed)]), 0.7), strict=True)}
+    want = set()
+    for s in range(0, len(hashed), 24):
+        here = set(hashed[s : s + 48].tolist())
+        for i in range(70):
+            pick = index.item == i
+            terms = index.terms[np.searchsorted(index.start, np.flatnonzero(pick), "right") - 1]
+            if sum(w for h, w in zip(terms.tolist(), index.impact[pick].tolist(), strict=True) if h in here) >= 0.7:
+                want.add((s, i))
+    assert got == want and want
+
+
+def test_lines(spark, texts):
+    first = {}
+    for i in sorted(texts):
+        for k, line in enumerate(texts[i].split("\n")):
+            s = line.strip("\t\n\x0b\x0c\r ")
+            if s:
+                first.setdefault(s, (i, k))
+    kept = list(first)
+    grams = {j: {s[i : i + 6] for i in range(len(s) - 5)} or {s} for j, s in enumerate(kept)}
+    rare = linked(grams)
+    root = groups(grams, rare)
+    least = {}
+    for j, s in enumerate(kept):
+        least[root[j]] = min(least.get(root[j], first[s]), first[s])
+    place = {s: least[root[j]] for j, s in enumerate(kept)}
+    want = {i: sum(1 for k, line in enumerate(t.split("\n")) if (s := line.strip("\t\n\x0b\x0c\r ")) and place[s] != (i, k)) for i, t in texts.items()}
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table(spark, SF, "documents")).collect()}
+    assert sum(got[i] != want[i] for i in want) <= len(want) * 0.01
+
+
+def test_flac_round_trip():
+    r = np.random.default_rng(0)
+    x = np.concatenate((r.integers(-128, 128, (9, 192)), np.cumsum(r.integers(-2, 3, (9, 192)), 1) % 100, np.full((3, 192), -7))).astype(np.int8)
+    number = np.arange(len(x)) + 120
+    data, size = flac.encode_frames(x, number)
+    at = np.cumsum(size) - size
+    got, end = flac.decode_frames(data, at, number)
+    assert (got == x).all() and (end == at + size).all()
+    data = data.copy()
+    data[at[4] + 30] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode_frames(data, at, number)
+
+
+def _bits(*fields):
+    return "".join(format(v & ((1 << n) - 1), f"0{n}b") for v, n in fields)
+
+
+def test_flac_decodes_linear_prediction_and_partitions():
+    """A hand-made LPC subframe with two Rice partitions, one of them escaped."""
+    head = bytes([0xFF, 0xF8, 0x14, 0x02, 0])
+    head += bytes([int(flac.crc8(np.frombuffer(head, np.uint8)[None], np.array([5]))[0])])
+    body = _bits((0, 1), (32 + 1, 6), (0, 1), (10, 8), (12, 8), (4, 4), (1, 5), (4, 5), (-2, 5), (0, 2), (1, 4))
+    want = [10, 12]
+    body += _bits((1, 4))
+    for j in range(94):
+        e = (-1) ** j
+        folded = e * 2 if e >= 0 else -e * 2 - 1
+        body += "0" * (folded >> 1) + "1" + str(folded & 1)
+        want.append(((4 * want[-1] - 2 * want[-2]) >> 1) + e)
+        if not -128 <= want[-1] <= 127:
+            want[-1] = want[-1]
+    body += _bits((15, 4), (0, 5))
+    for _ in range(96):
+        want.append((4 * want[-1] - 2 * want[-2]) >> 1)
+    body += "0" * (-len(body) % 8)
+    frame = head + int(body, 2).to_bytes(len(body) // 8, "big")
+    crc = int(flac.crc16(np.frombuffer(frame, np.uint8)[None], np.array([len(frame)]))[0])
+    data = np.frombuffer(frame + crc.to_bytes(2, "big"), np.uint8)
+    got, end = flac.decode_frames(data, np.array([0]), np.array([0]))
+    assert got[0].tolist() == want and end[0] == len(data)
+
+
+def test_media_digests(spark, texts):
+    for r in media.text_media(table(spark, SF, "documents")).collect():
+        raw = texts[r.doc_id].encode()
+        pad = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+
+
+def luhn(number):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(int(c) for c in reversed(number))) % 10 == 0
+
+
+def test_pseudonyms_keep_format_and_can_be_inverted(spark, texts):
+    docs = table(spark, SF, "documents")
+    out = pii.pseudonymize(docs, "secret")
+    rows = {r.doc_id: r for r in out.collect()}
+    assert sum(r.n_values for r in rows.values()) > 0
+    for i, t in texts.items():
+        cards = re.findall(r"(?<![\w-])\d{16}(?![\w-])", t)
+        assert rows[i].n_card == sum(map(luhn, cards))
+        assert len(rows[i].text) == len(t) or rows[i].n_ip or rows[i].n_email
+        for old, new in zip(cards, re.findall(r"(?<![\w-])\d{16}(?![\w-])", rows[i].text), strict=True):
+            assert luhn(old) == luhn(new) and (old != new or not luhn(old))
+    back = {r.doc_id: r.text for r in pii.pseudonymize(out.select("doc_id", "text"), "secret", inverse=True).collect()}
+    assert back == texts
+
+
+def test_permutation_covers_its_domain(spark):
+    """Every calendar day of a short domain maps to its own day."""
+    days = spark.range(3000).selectExpr("id as doc_id", "date_format(date_add(date'1999-12-25', cast(id as int)), 'yyyy-MM-dd') as text")
+    got = [r.text for r in pii.pseudonymize(days, "k").collect()]
+    assert len(set(got)) == 3000 and all(re.fullmatch(r"\d{4}-\d\d-\d\d", x) for x in got)
+
+
+def test_components_of_any_shape(spark):
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    want = groups(nodes, [e for e in edges if e[0] != e[1]])
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == nodes
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[x], want[x]) for x in nodes})
+
+
+def test_ftrl_learns_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    hit = sum(r.predicted for r in got if r.toxic)
+    assert hit >= 0.8 * sum(r.toxic for r in got)
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.03 * len(got)
+
+
+def test_pipeline_after_its_first_stage(spark, texts):
+    docs = table(spark, SF, "documents").select(*corpus_pipeline.COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {i: t for i, t in texts.items()}
+    sets = {i: shingles(t) for i, t in kept.items()}
+    root = groups(sets, linked(sets))
+    after = stages["ngram_join"](spark, docs, SF)
+    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(i for i in kept if root[i] == i)
+    mixed = stages["mixing"](spark, docs, SF)
+    counts = collections.Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert max(counts.values()) <= 2
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and {r.law for r in rows} == {"bytes"}
+
+
+def test_text_columns_sliced_with_nulls():
+    column = pa.array(["a", None, "b c", "", "d"]).slice(1)
+    seen = [(lo, hi, bytes(data), offsets.tolist()) for lo, hi, data, offsets in kernels.chunks(column)]
+    assert seen == [(0, 4, b"b cd", [0, 0, 3, 3, 4])]
