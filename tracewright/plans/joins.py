@@ -242,13 +242,19 @@ sql_query(
     """SELECT conv_id, turn FROM (SELECT conv_id, turn, sha2(text, 256) = lag(sha2(text, 256)) OVER (PARTITION BY conv_id ORDER BY turn) AS same FROM {conversations}) WHERE same""",
     "SELECT conv_id, turn FROM (SELECT conv_id, turn, text = lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS same FROM conversations) WHERE same",
 )
-sql_query(
+@query(
     "JN28_as_of_join",
-    """SELECT p.event_id, max_by(v.event_id, struct(v.ts, v.event_id)) AS view_id FROM {events} p JOIN {events} v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts <= p.ts
-    WHERE p.event_type = 'purchase' GROUP BY p.event_id""",
     """SELECT p.event_id, arg_max(v.event_id, {'ts': v.ts, 'id': v.event_id}) AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts <= p.ts
     WHERE p.event_type = 'purchase' GROUP BY p.event_id""",
 )
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view of the same user at or before each purchase: one window, linear in a user's events."""
+    upto = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(F.col("event_type") == "view", F.struct("ts", "event_id"))).over(upto)
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").withColumn("last", last)
+    return e.where("event_type = 'purchase' and last is not null").select("event_id", F.col("last.event_id").alias("view_id"))
+
+
 sql_query(
     "JN29_consensus_paths",
     """SELECT a.l_partkey AS start_key, a.l_suppkey AS end_key, a.q AS left_q, b.q AS right_q, round((a.q + b.q) / 2, 6) AS mid
