@@ -101,39 +101,50 @@ def popular_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(got.view(K.U64))
 
 
+#: Signatures and sets that a task packs together; set numbers in a pack have 16 bits.
+PACK_SIGNATURES, PACK_SETS = 2_000_000, 60_000
+PACKED = "part int, nodes binary, sizes binary, owners binary, sigs binary"
+
+
+def _pack(keys: list[int], sizes: list[int], sigs: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """One row for each part: its signatures, and the sets they are of by number."""
+    owner = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(x) for x in sigs])
+    sig = np.concatenate(sigs)
+    to = (((sig >> K.U64(40)) * K.U64(parts)) >> K.U64(24)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    owner, sig, to = owner[order], sig[order], to[order]
+    node, size = np.array(keys, np.int64), np.array(sizes, np.int32)
+    at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+    out = []
+    for a, b in zip(at.tolist(), np.append(at[1:], len(to)).tolist(), strict=True):
+        here, number = np.unique(owner[a:b], return_inverse=True)
+        out.append((node[here].tobytes(), size[here].tobytes(), number.astype(np.uint16).tobytes(), sig[a:b].tobytes()))
+    return pa.record_batch([pa.array(to[at]), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], ["part", "nodes", "sizes", "owners", "sigs"])
+
+
 def _dealt(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """Signatures dealt to ``parts`` parts: (part, node, n, packed signatures)."""
+    """Signatures of all distinct sets, packed by each task and dealt to ``parts`` parts."""
     popular = docs.sparkSession.sparkContext.broadcast(popular_shingles(docs, k))
 
-    def rows_of(part, node, size, packed):
-        columns = [*(pa.array(np.concatenate(x)) for x in (part, node, size)), pa.array(packed, pa.binary())]
-        return pa.record_batch(columns, ["part", "node", "n", "sigs"])
-
     def rows(batches):
         bands, seen = Bands(num, den), set()
+        keys, sizes, sigs, held = [], [], [], 0
         for batch in batches:
-            part, node, size, packed = [], [], [], []
             for _, tokens in _sets(batch.column("text"), k):
                 if len(tokens) == 0 or (key := set_key(tokens)) in seen:
                     continue
                 seen.add(key)
-                sig = signatures(tokens, bands, popular.value)
-                to = ((sig >> K.U64(40)) * K.U64(parts)) >> K.U64(24)
-                order = np.argsort(to)
-                sig, to = sig[order], to[order]
-                at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-                part.append(to[at].astype(np.int32))
-                node.append(np.full(len(at), key, np.int64))
-                size.append(np.full(len(at), len(tokens), np.int32))
-                raw, ends = sig.tobytes(), np.append(at[1:], len(sig)) * 8
-                packed.extend(raw[a:b] for a, b in zip((at * 8).tolist(), ends.tolist(), strict=True))
-                if len(packed) > 200_000:
-                    yield rows_of(part, node, size, packed)
-                    part, node, size, packed = [], [], [], []
-            if packed:
-                yield rows_of(part, node, size, packed)
-
-    return docs.mapInArrow(rows, "part int, node long, n int, sigs binary").repartitionById(parts, "part")
+                keys.append(key)
+                sizes.append(len(tokens))
+                sigs.append(signatures(tokens, bands, popular.value))
+                held += len(sigs[-1])
+                if held > PACK_SIGNATURES or len(keys) >= PACK_SETS:
+                    yield _pack(keys, sizes, sigs, parts)
+                    keys, sizes, sigs, held = [], [], [], 0
+        if keys:
+            yield _pack(keys, sizes, sigs, parts)
+
+    return docs.mapInArrow(rows, PACKED).repartitionById(parts, "part")
 
 
 def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int):
@@ -185,14 +196,11 @@ def _bucket_pairs(num: int, den: int):
     def rows(batches):
         nodes, sizes, sigs = [], [], []
         for batch in batches:
-            packed = batch.column("sigs")
-            offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
-            if len(packed) == 0:
-                continue
-            sigs.append(np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(K.U64).copy())
-            count = np.diff(offsets) // 8
-            nodes.append(np.repeat(batch.column("node").to_numpy(), count))
-            sizes.append(np.repeat(batch.column("n").to_numpy(), count))
+            for node, size, owner, sig in zip(*(batch.column(x) for x in ("nodes", "sizes", "owners", "sigs")), strict=True):
+                number = np.frombuffer(owner.as_buffer(), np.uint16)
+                nodes.append(np.frombuffer(node.as_buffer(), np.int64)[number])
+                sizes.append(np.frombuffer(size.as_buffer(), np.int32)[number])
+                sigs.append(np.frombuffer(sig.as_buffer(), K.U64).copy())
         if not nodes:
             return
         yield from pair_buckets(np.concatenate(nodes), np.concatenate(sizes).astype(np.int64), np.concatenate(sigs), num, den)
@@ -211,12 +219,13 @@ def _sided(sets: DataFrame, side: str) -> DataFrame:
     return sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(SKETCHES)))
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def likely_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and sketches in ``sets(node, n, s0 ...)`` leave them the chance to be similar."""
     both = pairs.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
     return both.where(_possible(num, den)).select("a", "b")
 
 
-def _member_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def member_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Possible pairs a < b of ``members(bucket, node, root)`` that share a bucket and not a root."""
     left = members.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(_sided(sets, "a"), "a")
     right = members.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")).join(_sided(sets, "b"), "b")
@@ -278,9 +287,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     larger = materialize(larger.join(larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("hub")), "bucket"), "buckets")
     pairs = found.where("bucket is null").select("a", "b")
     pairs = pairs.union(larger.where((F.col("k") > SMALL) & (F.col("node") != F.col("hub"))).select("hub", "node"))
-    pairs = _likely(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, num, den)
+    pairs = likely_pairs(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, num, den)
     own = larger.where(F.col("k") <= SMALL).select("bucket", "node", F.col("node").alias("root"))
-    pairs = materialize(pairs.union(_member_pairs(own, sets, num, den)).distinct(), "likely")
+    pairs = materialize(pairs.union(member_pairs(own, sets, num, den)).distinct(), "likely")
     links = _verified(pairs, docs, reps, k, num, den)
     large = larger.where(F.col("k") > SMALL).select("bucket", "node")
     if not large.isEmpty():
@@ -288,7 +297,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
         tagged = large.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         tagged = materialize(tagged.join(mixed, "bucket"), "mixed")
-        rest = _member_pairs(tagged, sets, num, den).join(pairs, ["a", "b"], "left_anti")
+        rest = member_pairs(tagged, sets, num, den).join(pairs, ["a", "b"], "left_anti")
         links = links.union(_verified(rest, docs, reps, k, num, den))
     return members, links
 
