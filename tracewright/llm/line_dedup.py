@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import lines as L
 from .common import components, materialize, shuffle_partitions
-from .ngram_join import SMALL, pair_buckets
+from .ngram_join import SKETCH, SKETCHES, SMALL, likely_pairs, member_pairs, pair_buckets, sketch
 
 LAST = (1 << 63) - 1
 #: Keys or ids that are broadcast at most; beyond it rows meet by shuffle.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 1_000_000
 
 
 def _each(column: pa.Array):
@@ -101,8 +101,16 @@ def _meetings(batches):
         yield from pair_buckets(node, np.ones(len(node), np.int64), np.concatenate(sigs), 1, 1)
 
 
-def _lines_of(needed):
-    """(key, text) of lines, of the needed ones where those are given."""
+def _sets(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int):
+    """The distinct shingles of each line."""
+    shingles, line = L.char_shingles(data, starts, ends, k)
+    cut = np.searchsorted(line, np.arange(len(starts) + 1))
+    for i in range(len(starts)):
+        yield np.unique(shingles[cut[i] : cut[i + 1]])
+
+
+def _lines_of(needed, k: int):
+    """(key, text, n, s0 ...) of lines, of the needed ones where those are given: text, set size and sketch."""
 
     def rows(batches):
         want = needed.value if needed is not None else None
@@ -121,18 +129,19 @@ def _lines_of(needed):
                 seen.update(once.tolist())
                 raw = data.tobytes()
                 text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                yield pa.record_batch([pa.array(K.signed(once)), pa.array(text)], ["key", "text"])
+                n, bits = np.zeros(len(once), np.int64), np.zeros((SKETCH, len(once)), np.int64)
+                for i, tokens in enumerate(_sets(starts[at], ends[at], data, k)):
+                    n[i] = len(tokens)
+                    bits[:, i] = sketch(tokens)
+                yield pa.record_batch([pa.array(K.signed(once)), pa.array(text), pa.array(n), *(pa.array(x) for x in bits)], ["key", "text", "n", *SKETCHES])
 
     return rows
 
 
 def _similar(k: int, num: int, den: int):
     def sets(column):
-        for lo, hi, data, offsets in K.chunks(column):
-            shingles, line = L.char_shingles(data, offsets[:-1], offsets[1:], k)
-            cut = np.searchsorted(line, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                yield np.unique(shingles[cut[i] : cut[i + 1]])
+        for _, _, data, offsets in K.chunks(column):
+            yield from _sets(offsets[:-1], offsets[1:], data, k)
 
     def rows(batches):
         for batch in batches:
@@ -145,41 +154,49 @@ def _similar(k: int, num: int, den: int):
     return rows
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    pairs = materialize(pairs, "pairs")
-    needed = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    if needed.count() <= BROADCAST_KEYS:
-        held = docs.sparkSession.sparkContext.broadcast(np.sort(needed.toArrow().column("key").to_numpy().view(K.U64)))
-        text = docs.mapInArrow(_lines_of(held), "key long, text string")
+def _needed_lines(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(key, text, n, s0 ...) of the lines with these keys."""
+    keys = materialize(keys.distinct(), "keys")
+    schema = "key long, text string, n long, " + ", ".join(f"{x} long" for x in SKETCHES)
+    if keys.count() <= BROADCAST_KEYS:
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy().view(K.U64)))
+        got = docs.mapInArrow(_lines_of(held, k), schema)
     else:
-        text = docs.mapInArrow(_lines_of(None), "key long, text string").join(needed, "key", "left_semi")
-    text = materialize(text.groupBy("key").agg(F.min("text").alias("text")), "lines")
-    both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(_similar(k, num, den), "a long, b long"), "links")
+        got = docs.mapInArrow(_lines_of(None, k), schema).join(keys, "key", "left_semi")
+    return materialize(got.groupBy("key").agg(*(F.min(c).alias(c) for c in ("text", "n", *SKETCHES))), "lines")
+
+
+def _verified(pairs: DataFrame, text: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_similar(k, num, den), "a long, b long"), "links")
 
 
 def line_links(docs: DataFrame, k: int = 6, num: int = 75, den: int = 100, rows: int = 5, bands: int = 20) -> DataFrame:
-    """Verified links (a, b) of line keys that join all similar lines found in ``docs(id, text)``."""
+    """Verified links (a, b) of line keys that join all similar lines found in ``docs(id, text)``.
+
+    Lines that share a band are candidates; parity sketches rule out pairs that cannot be similar.
+    """
     parts = max(1, shuffle_partitions(docs.sparkSession))
     dealt = docs.mapInArrow(_bands(k, rows, bands, parts), "part int, keys binary, bands binary").repartitionById(parts, "part")
     found = materialize(dealt.mapInArrow(_meetings, "bucket long, a long, b long"), "candidates")
     larger = found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct()
     larger = materialize(larger.join(larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("hub")), "bucket"), "buckets")
-    small = larger.where(F.col("k") <= SMALL).select("bucket", "node")
-    near = small.toDF("bucket", "a").join(small.toDF("bucket", "b"), "bucket").where("a < b").select("a", "b")
-    star = larger.where((F.col("k") > SMALL) & (F.col("node") != F.col("hub"))).select("hub", "node")
-    pairs = found.where("bucket is null").select("a", "b").union(near).union(star.select(F.least("hub", "node"), F.greatest("hub", "node"))).distinct()
-    pairs = materialize(pairs, "likely")
-    links = _verified(pairs, docs, k, num, den)
+    tiny = found.where("bucket is null").select("a", "b")
+    text = _needed_lines(docs, tiny.select(F.col("a").alias("key")).union(tiny.select("b")).union(larger.select("node")), k)
+    sets = text.select(F.col("key").alias("node"), "n", *SKETCHES)
+    star = larger.where((F.col("k") > SMALL) & (F.col("node") != F.col("hub"))).select(F.least("hub", "node"), F.greatest("hub", "node"))
+    own = larger.where(F.col("k") <= SMALL).select("bucket", "node", F.col("node").alias("root"))
+    pairs = likely_pairs(tiny.union(star).distinct(), sets, num, den).union(member_pairs(own, sets, num, den))
+    pairs = materialize(pairs.distinct(), "likely")
+    links = _verified(pairs, text, k, num, den)
     large = larger.where(F.col("k") > SMALL).select("bucket", "node")
     if not large.isEmpty():
         root = components(links)
         tagged = large.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         tagged = materialize(tagged.join(mixed, "bucket"), "mixed")
-        rest = tagged.toDF("bucket", "a", "ra").join(tagged.toDF("bucket", "b", "rb"), "bucket").where("a < b and ra <> rb")
-        rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(_verified(rest, docs, k, num, den))
+        rest = member_pairs(tagged, sets, num, den).join(pairs, ["a", "b"], "left_anti")
+        links = links.union(_verified(rest, text, k, num, den))
     return links
 
 
