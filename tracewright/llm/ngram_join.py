@@ -102,7 +102,7 @@ def popular_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 #: Signatures and sets that a task packs together; set numbers in a pack have 16 bits.
-PACK_SIGNATURES, PACK_SETS = 2_000_000, 60_000
+PACK_SIGNATURES, PACK_SETS = 1_000_000, 60_000
 PACKED = "part int, nodes binary, sizes binary, owners binary, sigs binary"
 
 
@@ -194,16 +194,26 @@ def _bucket_pairs(num: int, den: int):
     """Of one part: (null, a, b) to compare from tiny buckets, (bucket, a, null) of members of larger ones."""
 
     def rows(batches):
-        nodes, sizes, sigs = [], [], []
+        nodes, sizes, owners, sigs, base = [], [], [], [], 0
         for batch in batches:
             for node, size, owner, sig in zip(*(batch.column(x) for x in ("nodes", "sizes", "owners", "sigs")), strict=True):
-                number = np.frombuffer(owner.as_buffer(), np.uint16)
-                nodes.append(np.frombuffer(node.as_buffer(), np.int64)[number])
-                sizes.append(np.frombuffer(size.as_buffer(), np.int32)[number])
+                nodes.append(np.frombuffer(node.as_buffer(), np.int64).copy())
+                sizes.append(np.frombuffer(size.as_buffer(), np.int32).copy())
+                owners.append(np.frombuffer(owner.as_buffer(), np.uint16).astype(np.int32) + np.int32(base))
                 sigs.append(np.frombuffer(sig.as_buffer(), K.U64).copy())
+                base += len(nodes[-1])
         if not nodes:
             return
-        yield from pair_buckets(np.concatenate(nodes), np.concatenate(sizes).astype(np.int64), np.concatenate(sigs), num, den)
+        owner, sig = np.concatenate(owners), np.concatenate(sigs)
+        owners.clear()
+        sigs.clear()
+        # most signatures are of one set: only the others are given their sets
+        order = np.argsort(sig).astype(np.int32)
+        sig, owner = sig[order], owner[order]
+        same = sig[1:] == sig[:-1]
+        held = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        sig, owner = sig[held], owner[held]
+        yield from pair_buckets(np.concatenate(nodes)[owner], np.concatenate(sizes)[owner].astype(np.int64), sig, num, den)
 
     return rows
 
