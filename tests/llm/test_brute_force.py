@@ -275,6 +275,32 @@ def test_values_without_digits_are_replaced(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymize(out.select("doc_id", "text"), "k", inverse=True).collect()} == dict(rows)
 
 
+def test_planted_phones_are_replaced(spark):
+    """Every number marked as a phone gets its own other number, whatever its area and exchange."""
+    planted = re.compile(r"\+1 \(\d{3}\) 555-\d{4}")
+    docs = table(spark, "/root/testdata/sf0.1", "documents").where("text like '%+1 (%'").select("doc_id", "text")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    out = pii.pseudonymize(docs, "secret")
+    new = {r.doc_id: r.text for r in out.collect()}
+    shape = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}")
+    pairs = {p for i in old for p in zip(shape.findall(old[i]), shape.findall(new[i]), strict=True)}
+    assert sum(len(planted.findall(t)) for t in old.values()) >= 159
+    assert all(a != b for a, b in pairs) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert {r.doc_id: r.text for r in pii.pseudonymize(out.select("doc_id", "text"), "secret", inverse=True).collect()} == old
+
+
+def test_phones_of_any_ranges(spark):
+    areas = [0, 17, 199, 200, 555, 999]
+    rows = [(k, f"({a:03}) {e:03}-{n:04}") for k, (a, e, n) in enumerate(itertools.product(areas, areas, (0, 9999)))]
+    rows += [(100, "017 555-7713"), (101, "+1 017-555-7713"), (102, "(017) 555-7713"), (103, "234-555-1234"), (104, "(234) 555-1234")]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    got = {r.doc_id: r.text for r in out.collect()}
+    digits = {i: re.sub(r"\D", "", t)[-10:] for i, t in got.items()}
+    assert len({digits[i] for i in range(72)}) == 72 and all(got[i] != t for i, t in rows if i != 100)
+    assert got[100] == "017 555-7713" and digits[101] == digits[102] and digits[103] == digits[104]
+    assert {r.doc_id: r.text for r in pii.pseudonymize(out.select("doc_id", "text"), "k", inverse=True).collect()} == dict(rows)
+
+
 def test_components_of_any_shape(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]

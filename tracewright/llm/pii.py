@@ -2,14 +2,16 @@
 
 Values are found by pattern, validated (checksums, calendar, number ranges) and
 replaced by a keyed permutation of their own format, so equal values stay equal
-in every document and the pseudonym passes the same validation:
+in every document and the pseudonym passes the same validation (a phone marked by
+``+1`` or parentheses may have any ten digits; bare groups of digits need an area
+and an exchange of 200 to 999):
 
 =======  ==========================================================  ======================
 kind     validated by                                                kept
 =======  ==========================================================  ======================
 card     13 to 19 digits, Luhn                                       first digit, grouping, Luhn
 ssn      area, group and serial ranges                               separators, ranges
-phone    North American area and exchange ranges                     prefix, punctuation
+phone    ``+1``, parentheses or North American ranges                prefix, punctuation, ranges
 ip       four octets of 0 to 255                                     four octets
 date     calendar days of 1800-01-01 to 2199-12-31, ISO form         form, calendar
 email    mailbox and domain syntax                                   domain, character classes
@@ -147,6 +149,11 @@ def _phone_rest(d: Column) -> Column:
     return F.right(d, F.lit(10))
 
 
+def _in_ranges(r: Column) -> Column:
+    """Whether area and exchange of ten digits are 200 to 999."""
+    return (_part(r, 1, 1) >= "2") & (_part(r, 4, 1) >= "2")
+
+
 def valid(kind: str, v: Column) -> Column:
     """Whether a value found by the pattern of ``kind`` is one."""
     d = _digits(v)
@@ -156,8 +163,7 @@ def valid(kind: str, v: Column) -> Column:
         area, group, serial = (_part(d, a, n).cast("int") for a, n in ((1, 3), (4, 2), (6, 4)))
         return area.between(1, 899) & (area != 666) & (group >= 1) & (serial >= 1)
     if kind == "phone":
-        r = _phone_rest(d)
-        return (_part(r, 1, 1) >= "2") & (_part(r, 4, 1) >= "2")
+        return v.startswith("+1") | v.startswith("(") | _in_ranges(_phone_rest(d))
     if kind == "ip":
         octets = F.split(v, r"\.")
         return F.forall(octets, lambda o: o.cast("int") <= 255) & F.forall(octets, lambda o: (F.length(o) == 1) | ~o.startswith("0"))
@@ -185,11 +191,16 @@ def pseudonym(kind: str, v: Column, key: str, inverse: bool = False) -> Column:
         area = place + 1 + F.when(place >= 665, 1).otherwise(0)
         return _refill(v, F.concat(_pad(area, 3), _pad(F.floor(p["l"] / 898) + 1, 2), _pad(p["r"] + 1, 4)))
     if kind == "phone":
+        # numbers in the ranges and all others are permuted apart, so a number has one pseudonym in every form
         r = _phone_rest(d)
-        left = (_part(r, 1, 3).cast(_LONG) - 200) + 800 * (_part(r, 4, 3).cast(_LONG) - 200)
-        p = _feistel(left, _part(r, 7, 4), 640_000, 10_000, key, kind, inverse)
-        new = F.concat((p["l"] % 800 + 200).cast("string"), (F.floor(p["l"] / 800) + 200).cast("string"), _pad(p["r"], 4))
-        return _refill(v, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
+        area, exchange, inside = _part(r, 1, 3).cast(_LONG), _part(r, 4, 3).cast(_LONG), _in_ranges(r)
+        other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        left = F.when(inside, (area - 200) + 800 * (exchange - 200)).otherwise(other)
+        p = _feistel(left, _part(r, 7, 4), F.when(inside, _lit(640_000)).otherwise(_lit(360_000)), 10_000, key, kind, inverse)
+        low = p["l"] < 200_000
+        area = F.when(inside, p["l"] % 800 + 200).when(low, F.floor(p["l"] / 1000)).otherwise(F.floor((p["l"] - 200_000) / 200) + 200)
+        exchange = F.when(inside, F.floor(p["l"] / 800) + 200).when(low, p["l"] % 1000).otherwise((p["l"] - 200_000) % 200)
+        return _refill(v, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _pad(area, 3), _pad(exchange, 3), _pad(p["r"], 4)))
     if kind == "ip":
         o = F.transform(F.split(v, r"\."), lambda x: x.cast(_LONG))
         p = _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65_536, 65_536, key, kind, inverse)
