@@ -120,6 +120,22 @@ def test_leaks(docs, none, benchmark):
     assert decontamination.leaks(none, benchmark).count() == 0
 
 
+def test_leaks_of_items_without_an_id(spark, monkeypatch):
+    """Items without an id are found, and shards of any size find the same."""
+    items = [(k if k % 3 else None, " ".join(f"t{k}x{j}" for j in range(6 + k)) + f". answer a{k} b{k} c{k}") for k in range(9)]
+    rows = [(k, f"before it {t} and after") for k, (_, t) in enumerate(items)] + [(20, "no item at all in this one"), (None, items[0][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, [(k, i) for k, (i, _) in enumerate(items)] + [(None, None)]))
+    seen = []
+    for words in (500_000, 25):
+        monkeypatch.setattr(decontamination, "SHARD_WORDS", words)
+        seen.append(sorted(map(str, decontamination.leaks(docs, benchmark).collect())))
+        assert sorted(str((r.doc_id, r.item_id)) for r in decontamination.leaks(docs, benchmark).collect()) == want
+        assert [r.doc_id for r in decontamination.drop_leaked(docs, benchmark).collect()] == [20]
+    assert seen[0] == seen[1] and len(list(decontamination._indexes(benchmark, "item_id", "text"))) > 3
+
+
 def test_toxicity_without_labels_scores_zero(docs, labels):
     rows = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in rows} == {(0.0, 0)} and not any(r.held_out for r in rows if r.doc_id is None)

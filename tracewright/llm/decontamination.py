@@ -13,6 +13,8 @@ sentence) and answer word n-grams that occur in the passage.
 
 The index holds the benchmark, which is broadcast in shards of bounded size: each
 shard is one pass over the documents, so its size does not limit the benchmark.
+Term statistics are sums over the benchmark's table and each shard is built in a
+task; the driver holds finished shards only.
 The documents are only mapped, without an exchange.
 
 Defined results: null or empty texts and items match nothing; items shorter than
@@ -24,16 +26,19 @@ read.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import materialize
 
 K1, B_LENGTH, BLOCK, GRAM = 1.2, 0.75, 16, 3
 RETRIEVE, OVERLAP = 0.6, 0.7
@@ -245,33 +250,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = RETRIEVE, ov
     return found.toDF(*names)
 
 
+def _measured(batches):
+    """(part, place, id, text, n) of the items that have words, with their place in the task."""
+    part, place = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = np.array([len(_hashes(x.as_py().encode())) for x in batch.column("text")], np.int64)
+        use = pa.array(n > 0)
+        ids, text, n = batch.column("id").filter(use), batch.column("text").filter(use), n[n > 0]
+        where = pa.array(np.arange(place, place + len(n)))
+        place += len(n)
+        yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), where, ids, text, pa.array(n)], ["part", "place", "id", "text", "n"])
+
+
+def _terms(batches):
+    """(shard, term) of each distinct term of each item."""
+    for batch in batches:
+        for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            term = np.unique(_hashes(text.encode()))
+            yield pa.record_batch([pa.array(np.full(len(term), shard, np.int64)), pa.array(K.signed(term))], ["shard", "term"])
+
+
+def _built(stride: int, total: int, mean: float):
+    """The pickled index of one shard from its items and the document frequencies of its terms."""
+
+    def build(items: pa.Table, df: pa.Table) -> pa.Table:
+        items = items.sort_by([("part", "ascending"), ("place", "ascending")])
+        held = list(zip(items.column("id").to_pylist(), items.column("text").to_pylist(), strict=True))
+        seen = dict(zip(df.column("term").to_numpy().view(K.U64).tolist(), df.column("df").to_pylist(), strict=True))
+        index = build_index(held, stride, seen, total, mean)
+        return pa.table({"shard": items.column("shard").slice(0, 1), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    return build
+
+
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
-    """Index shards of at most about SHARD_WORDS words; statistics are of all items.
+    """Index shards of at most about SHARD_WORDS words; statistics are of all items, those without an id too.
 
-    The statistics of terms are one pass over the items as they stream to the
-    driver a partition at a time; a shard is all that is kept.
+    Items are numbered by a prefix sum of their words, which cuts the shards. A
+    shard's index is built in a task and comes to the driver alone.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").orderBy("id", "text")
-    df: dict[int, int] = {}
-    total = words = longest = 0
-    for _, text in items.toLocalIterator():
-        hashed = _hashes(text.encode())
-        if len(hashed):
-            total, words, longest = total + 1, words + len(hashed), max(longest, len(hashed))
-            for h in np.unique(hashed).tolist():
-                df[h] = df.get(h, 0) + 1
-    shard, size = [], 0
-    for i, text in items.toLocalIterator():
-        n = len(_hashes(text.encode()))
-        if n == 0:
-            continue
-        if size + n > SHARD_WORDS and shard:
-            yield build_index(shard, longest, df, total, words / total)
-            shard, size = [], 0
-        shard.append((i, text))
-        size += n
-    if shard:
-        yield build_index(shard, longest, df, total, words / total)
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    items = materialize(items.mapInArrow(_measured, "part int, place long, id long, text string, n long"), "items")
+    whole = items.agg(F.count(F.lit(1)).alias("total"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    if not whole.total:
+        return
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    parts = items.groupBy("part").agg(F.sum("n").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("before") + F.sum("n").over(inside) - F.col("n")
+    items = materialize(items.join(parts, "part").withColumn("shard", F.floor(start / SHARD_WORDS).cast("long")), "shards")
+    terms = items.select("shard", "text").mapInArrow(_terms, "shard long, term long").groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = materialize(terms, "terms")
+    df = terms.groupBy("term").agg(F.sum("df").alias("df"))
+    df = terms.select("shard", "term").join(df, "term")
+    built = items.select("shard", "part", "place", "id", "text").groupBy("shard").cogroup(df.groupBy("shard"))
+    built = materialize(built.applyInArrow(_built(whole.longest, whole.total, whole.words / whole.total), "shard long, index binary"), "indexes")
+    for row in sorted(built.select("shard").collect()):
+        yield pickle.loads(built.where(F.col("shard") == row.shard).first()["index"])
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = RETRIEVE, overlap: float = OVERLAP, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
