@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tracewright.llm import decontamination, flac, jaccard_kernel, kernels, line_dedup, media, ngram_join, pii, recompression, substring_dedup, toxicity
+from tracewright.llm import decontamination, flac, jaccard_kernel, kernels, line_dedup, lines, media, ngram_join, pii, recompression, substring_dedup, toxicity
 from tracewright.llm.common import components, table
 
 SF = "/root/testdata/sf0.001"
@@ -187,6 +187,18 @@ def test_lines(spark, texts):
     assert sum(got[i] != want[i] for i in want) <= len(want) * 0.01
 
 
+@pytest.mark.parametrize(("size", "both"), [(8, 7), (12, 11), (20, 18), (28, 24), (40, 35), (60, 52), (120, 103), (200, 172)])
+def test_similar_lines_share_a_band(size, both):
+    """Sets of any size share a band about as often as independent rows would, 1 - (1 - J^5)^20."""
+    r = np.random.default_rng(size)
+    n = 3000
+    core, a, b = (r.integers(0, 2**64, (n, k), np.uint64) for k in (both, size - both, size - both))
+    line = np.repeat(np.arange(n), size)
+    x, y = (lines.band_hashes(np.concatenate((core, own), 1).ravel(), line, n, 5, 20) for own in (a, b))
+    similar = both / (2 * size - both)
+    assert (x == y).any(1).mean() >= 1 - (1 - similar**5) ** 20 - 0.01
+
+
 def test_flac_round_trip():
     r = np.random.default_rng(0)
     x = np.concatenate((r.integers(-128, 128, (9, 192)), np.cumsum(r.integers(-2, 3, (9, 192)), 1) % 100, np.full((3, 192), -7))).astype(np.int8)

@@ -72,20 +72,41 @@ def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _HELD[0], _HELD[1]
 
 
+def _donors() -> tuple[np.ndarray, np.ndarray]:
+    """For each bin an order of all bins, itself first, and the rank of each bin in that order."""
+    at = np.arange(BINS * BINS, dtype=U64)
+    key = mix(at + U64(0x51ED27)).reshape(BINS, BINS)
+    np.fill_diagonal(key, 0)
+    order = np.argsort(key, 1, kind="stable")
+    return order, np.argsort(order, 1, kind="stable").T.astype(np.uint8).copy()
+
+
+_ORDER, _RANK = _donors()
+
+
 def band_hashes(shingles: np.ndarray, line: np.ndarray, n: int, rows: int, bands: int) -> np.ndarray:
-    """(n, bands) hashes of one-permutation MinHash signatures, empty bins filled from others."""
+    """(n, bands) hashes of one-permutation MinHash signatures, empty bins filled from others.
+
+    An empty bin takes the value of the first full one in its own random order of
+    the bins, so bins of a line with few shingles are drawn independently.
+    """
     empty = U64((1 << 64) - 1)
     table = np.full(n * BINS, empty, U64)
     np.minimum.at(table, line * BINS + (shingles >> U64(64 - BINS_LOG)).astype(np.int64), shingles)
     table = table.reshape(n, BINS)
-    # an empty bin takes the value of the next full one to the right, marked with the distance
-    place = np.where(table != empty, np.arange(BINS), 2 * BINS)
-    place = np.concatenate((place, place + BINS), 1)
-    near = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :BINS]
-    near = np.minimum(near, 2 * BINS - 1)
-    full = np.take_along_axis(table, near % BINS, 1) + (near - np.arange(BINS)).astype(U64) * U64(0x9E3779B97F4A7C15)
+    full = table != empty
+    held = full.sum(1)
+    for size in np.unique(held[(held > 0) & (held < BINS)]).tolist():
+        same = np.flatnonzero(held == size)
+        for lo in range(0, len(same), 1024):
+            some = same[lo : lo + 1024]
+            bins = np.nonzero(full[some])[1].reshape(len(some), size)
+            rank = _RANK[bins[:, 0]]
+            for i in range(1, size):
+                np.minimum(rank, _RANK[bins[:, i]], out=rank)
+            table[some] = np.take_along_axis(table[some], _ORDER[np.arange(BINS), rank], 1)
     salt = mix(np.arange(bands, dtype=U64) + U64(99))
     out = np.zeros((n, bands), U64)
     for r in range(rows):
-        out = mix(out * U64(3) + full[:, r * bands : (r + 1) * bands] + salt)  # bins far apart, as neighbours may share a value
+        out = mix(out * U64(3) + table[:, r * bands : (r + 1) * bands] + salt)
     return out
