@@ -95,6 +95,24 @@ def test_line_values(docs):
     assert sorted(r.n_removed for r in got[None]) == [0, 1]
 
 
+def test_rows_without_an_id_meet_their_own_lines(spark, monkeypatch):
+    """No row is given the lines of another text of its id; equal rows share one list."""
+    lists = []
+    inner = spark.createDataFrame([], "id long").__class__.mapInArrow
+
+    def spied(df, func, schema, *rest, **more):
+        if func is line_dedup._cut:
+            lists.extend((r.text.count("\n") + 1, len(r.gone)) for r in df.collect())
+        return inner(df, func, schema, *rest, **more)
+
+    monkeypatch.setattr(spark.createDataFrame([], "id long").__class__, "mapInArrow", spied)
+    common = "a line that all of these texts have in common"
+    rows = [(0, common)] + [(None if k % 2 else 7, f"{k * 7919:x} own words {k ** 5:x}\n{common}") for k in range(40)] * 2
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 81 and all(r.n_removed == 1 and common not in r.kept for r in got if r.doc_id != 0)
+    assert len(lists) == 80 and all(held <= n for n, held in lists)
+
+
 def test_shards_are_contiguous_and_gapless(docs):
     rows = sharding.shard_documents(docs, 3).collect()
     for s in range(3):

@@ -43,14 +43,15 @@ def _each(column: pa.Array):
 
 
 def _occurrences(batches):
-    """(key, doc, line) of all lines that are not blank."""
+    """(key, doc, version, line) of all lines that are not blank; ``version`` is a hash of the text."""
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        ids, versions = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("id", "version"))
         for lo, hi, _, _, _, first, keys in _each(batch.column("text")):
-            doc = np.repeat(ids[lo:hi], np.diff(first))
+            doc, version = (np.repeat(x[lo:hi], np.diff(first)) for x in (ids, versions))
             at = np.arange(len(keys)) - np.repeat(first[:-1], np.diff(first))
             use = keys != 0
-            yield pa.record_batch([pa.array(K.signed(keys[use])), pa.array(doc[use].astype(np.int64)), pa.array(at[use].astype(np.int32))], ["key", "doc", "line"])
+            columns = [pa.array(K.signed(keys[use])), *(pa.array(x[use].astype(np.int64)) for x in (doc, version)), pa.array(at[use].astype(np.int32))]
+            yield pa.record_batch(columns, ["key", "doc", "version", "line"])
 
 
 def _bands(k: int, rows_: int, bands: int, parts: int):
@@ -226,25 +227,28 @@ def dedup_lines(docs: DataFrame, k: int = 6, num: int = 75, den: int = 100, rows
     """(id, n_lines, n_removed, kept) of every row of ``docs``; ``kept`` is the text that is left."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
     told = docs.where("text is not null")
-    seen = materialize(told.mapInArrow(_occurrences, "key long, doc long, line int"), "occurrences")
+    told = told.withColumn("version", F.xxhash64("text"))
+    seen = materialize(told.mapInArrow(_occurrences, "key long, doc long, version long, line int"), "occurrences")
     place = F.struct("doc", "line")
     firsts = seen.groupBy("key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c"))
-    root = components(line_links(told, k, num, den, rows, bands)).withColumnRenamed("node", "key")
+    root = components(line_links(told.select("id", "text"), k, num, den, rows, bands)).withColumnRenamed("node", "key")
     tied = firsts.join(root, "key").select("key", "root", "f")
     least = tied.groupBy("root").agg(F.min("f").alias("rf"))
     tied = tied.join(least, "root").select(F.col("key").alias("tk"), "rf")
     several = firsts.join(tied, firsts["key"] == tied["tk"], "left").where("c > 1 or rf is not null")
     keep = materialize(several.select("key", F.coalesce("rf", "f").alias("first")), "keep")
-    gone = seen.join(keep, "key").where(place != F.col("first")).select("doc", "line", "key")
+    gone = seen.join(keep, "key").where(place != F.col("first")).select("doc", "version", "line", "key")
     gone = materialize(gone, "gone")
-    ids = materialize(gone.select("doc").distinct(), "ids")
-    lists = gone.groupBy("doc").agg(F.collect_list(F.struct("line", "key")).alias("gone"))  # no longer than a text
+    # rows of one id, or of none, meet only the lines of their own text
+    ids = materialize(gone.select("doc", "version").distinct(), "ids")
+    lists = gone.groupBy("doc", "version").agg(F.collect_set(F.struct("line", "key")).alias("gone"))  # no longer than a text
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    some = told.join(ids, told["id"] == ids["doc"], "left_semi")
-    cut = some.join(lists, some["id"] == lists["doc"]).select("id", "text", "gone")
+    own = lambda other: (told["id"] == other["doc"]) & (told["version"] == other["version"])
+    some = told.join(ids, own(ids), "left_semi")
+    cut = some.join(lists, (some["id"] == lists["doc"]) & (some["version"] == lists["version"])).select("id", "text", "gone")
     cut = cut.mapInArrow(_cut, "id long, n_lines long, n_removed long, kept string")
     count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    same = told.join(ids, told["id"] == ids["doc"], "left_anti").select("id", count.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
+    same = told.join(ids, own(ids), "left_anti").select("id", count.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
     none = docs.where("text is null").select("id", F.lit(0).cast("long"), F.lit(0).cast("long"), "text")
     known = F.when(F.col("id") != LAST, F.col("id")).alias(id_col)
     return cut.union(same).union(none).select(known, "n_lines", "n_removed", "kept")
