@@ -26,11 +26,14 @@ from .kernels import U64, mix
 class Bands:
     """Size bands for one similarity ``num/den``; a pair belongs to the band of its smaller set."""
 
+    #: Largest size of a band over that of the band before: the wider, the fewer sets emit for two bands.
+    RATIO = 2
+
     def __init__(self, num: int, den: int, segment_tokens: float = 2.0, top: int = 1 << 40):
         self.num, self.den, self.tokens = num, den, segment_tokens
         tops = [0]
         while tops[-1] < top:
-            tops.append(max(tops[-1] + 1, tops[-1] * den // num))
+            tops.append(max(tops[-1] + 1, tops[-1] * den // num, tops[-1] * self.RATIO))
         self.tops = np.array(tops[1:], np.int64)
 
     def difference(self, x: int, y: int) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import lines as L
 from .common import components, materialize, shuffle_partitions
-from .ngram_join import SKETCH, SKETCHES, SMALL, likely_pairs, member_pairs, pair_buckets, sketch
+from .ngram_join import SKETCH, SKETCHES, bucket_links, pair_buckets, sketch
 
 LAST = (1 << 63) - 1
 #: Keys or ids that are broadcast at most; beyond it rows meet by shuffle.
@@ -167,11 +167,6 @@ def _needed_lines(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return materialize(got.groupBy("key").agg(*(F.min(c).alias(c) for c in ("text", "n", *SKETCHES))), "lines")
 
 
-def _verified(pairs: DataFrame, text: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_similar(k, num, den), "a long, b long"), "links")
-
-
 def line_links(docs: DataFrame, k: int = 6, num: int = 75, den: int = 100, rows: int = 5, bands: int = 20) -> DataFrame:
     """Verified links (a, b) of line keys that join all similar lines found in ``docs(id, text)``.
 
@@ -180,25 +175,13 @@ def line_links(docs: DataFrame, k: int = 6, num: int = 75, den: int = 100, rows:
     parts = max(1, shuffle_partitions(docs.sparkSession))
     dealt = docs.mapInArrow(_bands(k, rows, bands, parts), "part int, keys binary, bands binary").repartitionById(parts, "part")
     found = materialize(dealt.mapInArrow(_meetings, "bucket long, a long, b long"), "candidates")
-    larger = found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct()
-    larger = materialize(larger.join(larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("hub")), "bucket"), "buckets")
+    larger = materialize(found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct(), "buckets")
+    larger = larger.join(larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")), "bucket")
     tiny = found.where("bucket is null").select("a", "b")
     text = _needed_lines(docs, tiny.select(F.col("a").alias("key")).union(tiny.select("b")).union(larger.select("node")), k)
     sets = text.select(F.col("key").alias("node"), "n", *SKETCHES)
-    star = larger.where((F.col("k") > SMALL) & (F.col("node") != F.col("hub"))).select(F.least("hub", "node"), F.greatest("hub", "node"))
-    own = larger.where(F.col("k") <= SMALL).select("bucket", "node", F.col("node").alias("root"))
-    pairs = likely_pairs(tiny.union(star).distinct(), sets, num, den).union(member_pairs(own, sets, num, den))
-    pairs = materialize(pairs.distinct(), "likely")
-    links = _verified(pairs, text, k, num, den)
-    large = larger.where(F.col("k") > SMALL).select("bucket", "node")
-    if not large.isEmpty():
-        root = components(links)
-        tagged = large.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        tagged = materialize(tagged.join(mixed, "bucket"), "mixed")
-        rest = member_pairs(tagged, sets, num, den).join(pairs, ["a", "b"], "left_anti")
-        links = links.union(_verified(rest, text, k, num, den))
-    return links
+    tokens = text.select(F.col("key").alias("node"), F.col("text").alias("tokens"))
+    return bucket_links(tiny, larger, sets, lambda nodes: tokens.join(nodes, "node", "left_semi"), num, den, _similar(k, num, den))[0]
 
 
 def _cut(batches):

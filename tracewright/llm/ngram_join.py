@@ -1,25 +1,30 @@
 """Operator 2: exact Jaccard self-join of word n-gram sets by universe-partition pigeonhole.
 
-``signatures`` (see ``jaccard_kernel``) are dealt by their hash; sets that share
-one are candidates. A parity sketch of each set (bit i: whether an odd number of
-its hashes fall on i) bounds the symmetric difference from below, so pairs it
-rules out are no links; the rest are compared exactly from their whole texts.
-Buckets of up to ``SMALL`` sets compare all their pairs. A larger bucket first
-compares all with its least set; once components are known, only its pairs
-between different components are left and are compared too, so a large group of
-copies costs a star and no link is lost.
+1. ``signatures`` (see ``jaccard_kernel``) are dealt by their hash; sets that share
+   one are candidates. Signatures that a sample shows to be held by many sets skip
+   the deal and go straight to the table of larger buckets, so no part holds them.
+2. A parity sketch of each set (bit i: whether an odd number of its hashes fall on
+   i) bounds the symmetric difference from below, so pairs it rules out are no
+   links; the rest are compared exactly by the sets of their whole texts.
+3. Buckets of more than ``SMALL`` sets first compare all with a few hubs, so that a
+   large group of copies becomes one component by a few stars.
+4. All other pairs that share a bucket are compared unless that component already
+   joins both, so the components are complete and no group emits all its pairs.
+5. ``link_counts`` counts every link: the sets of a component meet in blocks of
+   bounded size, each pair of blocks is compared exactly inside one task, and only
+   a count for each set leaves it.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; a text with fewer words than ``k`` is one shingle; equal sets are one
 class; a row without an id gets a null component and takes no part in links;
 rows that repeat an id are each kept. Only the id and text columns are read, so
-other columns and their names do not matter. Sets are compared by 64-bit hashes
-of their shingles.
+other columns and their names do not matter. Shingles are compared by 64-bit
+hashes, and sets are one class where 128 bits over all their shingles agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +37,33 @@ from .jaccard_kernel import Bands, signatures
 
 #: Sets of a bucket up to which its pairs are made at once, and in a join.
 TINY, SMALL = 4, 64
+#: Sets of a larger bucket that all its sets are compared with first.
+HUBS = 4
 #: Signatures that one task sorts.
-PART_SIGNATURES = 3_000_000
+PART_SIGNATURES = 1_500_000
 #: Longs of a parity sketch.
 SKETCH = 8
 #: Documents in the sample that names popular shingles, how many of them make
 #: one popular, and how many are named at most. They steer cost, not results.
 SAMPLE_DOCS, POPULAR_AT, POPULAR_MOST = 20_000, 4, 65_536
+#: Sampled sets that make a signature one of a large bucket, and how many signatures are named at most.
+HOT_AT, HOT_MOST = 16, 65_536
 #: Document ids that are broadcast at most; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Sets and shingles of one block in which links are counted.
+BLOCK_SETS, BLOCK_TOKENS = 256, 131_072
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """64-bit key of a set of hashed shingles."""
+def set_key(tokens: np.ndarray) -> bytes:
+    """128-bit key of a set of hashed shingles."""
     with np.errstate(over="ignore"):
-        return int(K.signed(K.mix(np.add.reduce(K.mix(tokens)) + np.full(1, len(tokens), K.U64)))[0])
+        sums = np.array([np.add.reduce(K.mix(tokens)), np.add.reduce(K.mix(tokens ^ K.U64(0xA5A5F00D5EED1234)))], K.U64)
+        return K.mix(sums + K.U64(len(tokens))).tobytes()
+
+
+def address(key: bytes) -> int:
+    """The long by which sets are named where signatures meet."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -68,7 +85,7 @@ SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def shingle_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, node, s0 ...) of ``docs(id, text)``: set size, key of the set (null if empty), its sketch."""
+    """(id, n, node, addr, s0 ...) of ``docs(id, text)``: set size, key of the set (null if empty), its address and sketch."""
 
     def rows(batches):
         for batch in batches:
@@ -77,40 +94,62 @@ def shingle_sizes(docs: DataFrame, k: int) -> DataFrame:
                 n[i] = len(tokens)
                 key[i] = set_key(tokens) if len(tokens) else None
                 bits[:, i] = sketch(tokens)
-            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(key, pa.int64()), *(pa.array(x) for x in bits)], ["id", "n", "node", *SKETCHES])
+            addr = pa.array([None if x is None else address(x) for x in key], pa.int64())
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(key, pa.binary()), addr, *(pa.array(x) for x in bits)], ["id", "n", "node", "addr", *SKETCHES])
 
     longs = ", ".join(f"{x} long" for x in SKETCHES)
-    return docs.mapInArrow(rows, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, {longs}")
+    return docs.mapInArrow(rows, f"id {docs.schema['id'].dataType.simpleString()}, n long, node binary, addr long, {longs}")
 
 
-def popular_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted shingle hashes found in POPULAR_AT or more of at most about SAMPLE_DOCS documents."""
-    total = docs.count()
-    if total == 0:
-        return np.zeros(0, K.U64)
-    share = min(1.0, SAMPLE_DOCS / total)
+def _sampled(docs: DataFrame) -> DataFrame:
+    """The distinct texts of at most about SAMPLE_DOCS documents, chosen by a hash of the id."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return materialize(some.select("text").distinct(), "sample")
+
+
+def _most_frequent(texts: DataFrame, hashes, at: int, most: int) -> np.ndarray:
+    """Sorted values of ``hashes(text column)`` found in ``at`` or more texts, ``most`` at most."""
 
     def rows(batches):
         for batch in batches:
-            for _, tokens in _sets(batch.column("text"), k):
-                yield pa.record_batch([pa.array(K.signed(tokens))], ["h"])
+            for found in hashes(batch.column("text")):
+                yield pa.record_batch([pa.array(K.signed(found))], ["h"])
 
-    top = some.select("text").mapInArrow(rows, "h long").groupBy("h").count().where(F.col("count") >= POPULAR_AT)
-    got = top.orderBy(F.desc("count"), "h").limit(POPULAR_MOST).select("h").toPandas()["h"].to_numpy(np.int64)
+    top = texts.mapInArrow(rows, "h long").groupBy("h").count().where(F.col("count") >= at)
+    got = top.orderBy(F.desc("count"), "h").limit(most).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(got.view(K.U64))
 
 
+def popular_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles found in POPULAR_AT or more of ``texts``."""
+    return _most_frequent(texts, lambda column: (tokens for _, tokens in _sets(column, k)), POPULAR_AT, POPULAR_MOST)
+
+
+def hot_signatures(texts: DataFrame, k: int, num: int, den: int, popular: np.ndarray) -> np.ndarray:
+    """Sorted signatures that HOT_AT or more of ``texts`` have."""
+    bands = Bands(num, den)
+    return _most_frequent(texts, lambda column: (np.unique(signatures(tokens, bands, popular)) for _, tokens in _sets(column, k)), HOT_AT, HOT_MOST)
+
+
 #: Signatures and sets that a task packs together; set numbers in a pack have 16 bits.
-PACK_SIGNATURES, PACK_SETS = 1_000_000, 60_000
-PACKED = "part int, nodes binary, sizes binary, owners binary, sigs binary"
+PACK_SIGNATURES, PACK_SETS = 300_000, 60_000
+PACKED = "part int, hot boolean, nodes binary, sizes binary, owners binary, sigs binary"
+
 
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``some``."""
+    if len(some) == 0:
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
-def _pack(keys: list[int], sizes: list[int], sigs: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """One row for each part: its signatures, and the sets they are of by number."""
+
+def _pack(keys: list[int], sizes: list[int], sigs: list[np.ndarray], parts: int, hot: np.ndarray) -> pa.RecordBatch:
+    """One row for each part: its signatures, and the sets they are of by number; those of large buckets go anywhere."""
     owner = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(x) for x in sigs])
     sig = np.concatenate(sigs)
     to = (((sig >> K.U64(40)) * K.U64(parts)) >> K.U64(24)).astype(np.int32)
+    to[_among(sig, hot)] = parts
     order = np.argsort(to, kind="stable")
     owner, sig, to = owner[order], sig[order], to[order]
     node, size = np.array(keys, np.int64), np.array(sizes, np.int32)
@@ -119,12 +158,16 @@ def _pack(keys: list[int], sizes: list[int], sigs: list[np.ndarray], parts: int)
     for a, b in zip(at.tolist(), np.append(at[1:], len(to)).tolist(), strict=True):
         here, number = np.unique(owner[a:b], return_inverse=True)
         out.append((node[here].tobytes(), size[here].tobytes(), number.astype(np.uint16).tobytes(), sig[a:b].tobytes()))
-    return pa.record_batch([pa.array(to[at]), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], ["part", "nodes", "sizes", "owners", "sigs"])
+    large = to[at] == parts
+    part = np.where(large, keys[0] % parts, to[at]).astype(np.int32)
+    return pa.record_batch([pa.array(part), pa.array(large), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], ["part", "hot", "nodes", "sizes", "owners", "sigs"])
 
 
 def _dealt(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
     """Signatures of all distinct sets, packed by each task and dealt to ``parts`` parts."""
-    popular = docs.sparkSession.sparkContext.broadcast(popular_shingles(docs, k))
+    context, sample = docs.sparkSession.sparkContext, _sampled(docs)
+    named = popular_shingles(sample, k)
+    popular, hot = context.broadcast(named), context.broadcast(hot_signatures(sample, k, num, den, named))
 
     def rows(batches):
         bands, seen = Bands(num, den), set()
@@ -134,28 +177,35 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame
                 if len(tokens) == 0 or (key := set_key(tokens)) in seen:
                     continue
                 seen.add(key)
-                keys.append(key)
+                keys.append(address(key))
                 sizes.append(len(tokens))
                 sigs.append(signatures(tokens, bands, popular.value))
                 held += len(sigs[-1])
                 if held > PACK_SIGNATURES or len(keys) >= PACK_SETS:
-                    yield _pack(keys, sizes, sigs, parts)
+                    yield _pack(keys, sizes, sigs, parts, hot.value)
                     keys, sizes, sigs, held = [], [], [], 0
         if keys:
-            yield _pack(keys, sizes, sigs, parts)
+            yield _pack(keys, sizes, sigs, parts, hot.value)
 
     return docs.mapInArrow(rows, PACKED).repartitionById(parts, "part")
 
 
+def _held_twice(x: np.ndarray) -> np.ndarray:
+    """Whether a value of sorted ``x`` is there more than once."""
+    same = x[1:] == x[:-1]
+    return np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(x) else np.zeros(0, bool)
+
+
 def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int):
     """Batches (bucket, a, b): null, a, b are pairs of tiny buckets; bucket, a, null members of larger ones.
 
     Pairs whose sizes ``n`` are too far apart for a similarity of num/den are left out.
     """
+    if len(sig) == 0:
+        return
     order = np.argsort(sig, kind="stable")
     node, n, sig = node[order], n[order], sig[order]
-    same = sig[1:] == sig[:-1]
-    held = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    held = _held_twice(sig)
     node, n, sig = node[held], n[held], sig[held]
     order = np.lexsort((node, sig))
     node, n, sig = node[order], n[order], sig[order]
@@ -190,18 +240,28 @@ def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den
         yield pa.record_batch([pa.array(np.repeat(name[lo : lo + 10_000], some)), members, pa.nulls(len(place), pa.int64())], ["bucket", "a", "b"])
 
 
+def _members(node: np.ndarray, sig: np.ndarray):
+    for lo in range(0, len(sig), 100_000):
+        some = pa.array(node[lo : lo + 100_000])
+        yield pa.record_batch([pa.array(K.signed(sig[lo : lo + 100_000])), some, pa.nulls(len(some), pa.int64())], ["bucket", "a", "b"])
+
+
 def _bucket_pairs(num: int, den: int):
     """Of one part: (null, a, b) to compare from tiny buckets, (bucket, a, null) of members of larger ones."""
 
     def rows(batches):
         nodes, sizes, owners, sigs, base = [], [], [], [], 0
         for batch in batches:
-            for node, size, owner, sig in zip(*(batch.column(x) for x in ("nodes", "sizes", "owners", "sigs")), strict=True):
-                nodes.append(np.frombuffer(node.as_buffer(), np.int64).copy())
+            for hot, node, size, owner, sig in zip(*(batch.column(x) for x in ("hot", "nodes", "sizes", "owners", "sigs")), strict=True):
+                node, owner, sig = (np.frombuffer(x.as_buffer(), t).copy() for x, t in ((node, np.int64), (owner, np.uint16), (sig, K.U64)))
+                if hot.as_py():
+                    yield from _members(node[owner], sig)
+                    continue
+                nodes.append(node)
                 sizes.append(np.frombuffer(size.as_buffer(), np.int32).copy())
-                owners.append(np.frombuffer(owner.as_buffer(), np.uint16).astype(np.int32) + np.int32(base))
-                sigs.append(np.frombuffer(sig.as_buffer(), K.U64).copy())
-                base += len(nodes[-1])
+                owners.append(owner.astype(np.int32) + np.int32(base))
+                sigs.append(sig)
+                base += len(node)
         if not nodes:
             return
         owner, sig = np.concatenate(owners), np.concatenate(sigs)
@@ -210,8 +270,7 @@ def _bucket_pairs(num: int, den: int):
         # most signatures are of one set: only the others are given their sets
         order = np.argsort(sig).astype(np.int32)
         sig, owner = sig[order], owner[order]
-        same = sig[1:] == sig[:-1]
-        held = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        held = _held_twice(sig)
         sig, owner = sig[held], owner[held]
         yield from pair_buckets(np.concatenate(nodes)[owner], np.concatenate(sizes)[owner].astype(np.int64), sig, num, den)
 
@@ -235,103 +294,232 @@ def likely_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return both.where(_possible(num, den)).select("a", "b")
 
 
-def member_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Possible pairs a < b of ``members(bucket, node, root)`` that share a bucket and not a root."""
-    left = members.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(_sided(sets, "a"), "a")
-    right = members.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")).join(_sided(sets, "b"), "b")
-    apart = (left["bucket"] == right["bucket"]) & (left["a"] < right["b"]) & (left["ra"] != right["rb"])
-    return left.join(right, apart & _possible(num, den)).select("a", "b").distinct()
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of each node of ``buckets(bucket, node)`` and the hubs of its bucket.
+
+    A hub is the node of least hash, so buckets with about the same members have the same hubs.
+    """
+    hubs = buckets.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64(F.lit(t), "node")).alias(f"h{t}") for t in range(HUBS)))
+    met = buckets.join(hubs, "bucket").select("node", F.explode(F.array_distinct(F.array(*(f"h{t}" for t in range(HUBS))))).alias("hub"))
+    return met.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
 
+def rest_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible pairs a < b of ``buckets(bucket, node, k)`` that share a bucket and not a root of ``roots(node, root)``.
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar, each compared from its two whole texts."""
-    pairs = materialize(
-        pairs.join(reps.toDF("a", "ida"), "a").join(reps.toDF("b", "idb"), "b").select("a", "b", "ida", "idb"), "pairs"
-    )
-    ids = pairs.select(F.col("ida").alias("id")).union(pairs.select("idb")).distinct()
-    ids = materialize(ids, "ids")
+    Larger buckets with the same first hub are one group. Every such pair holds a
+    node outside the most frequent root of its group, so only these nodes look for
+    partners, among blocks of their group.
+    """
+    first = buckets.where(F.col("k") > SMALL).groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(0), "node")).alias("hub"))
+    group = F.coalesce(F.xxhash64(F.lit("hub"), "hub"), "bucket").alias("bucket")
+    named = buckets.join(first, "bucket", "left").select(group, "node").distinct()
+    named = named.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    count = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    count = count.groupBy("bucket").agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    mixed = materialize(named.join(count.where("roots > 1"), "bucket"), "mixed")
+    blocks = F.ceil(F.col("k") / 1024).cast("int")
+    sided = lambda rows, side: rows.withColumnRenamed("node", side).join(_sided(sets, side), side)
+    left = mixed.where("root <> top").select("bucket", "node", F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    right = mixed.select("bucket", "node", F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    both = sided(left, "a").join(sided(right, "b"), ["bucket", "block"]).where((F.col("ra") != F.col("rb")) & _possible(num, den))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def node_tokens(docs: DataFrame, members: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, tokens): the sorted shingle hashes of the sets ``nodes(node)``, of one whole text each."""
+    named = members.where("id is not null and node is not null")
+    found = materialize(named.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("node", "id"), "ids")
+    ids = found.select("id")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
     def rows(batches):
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            key, held = [], []
+            for _, tokens in _sets(batch.column("text"), k):
+                if len(tokens):
+                    key.append(set_key(tokens))
+                    held.append(tokens.tobytes())
+                if len(held) >= 1000:
+                    yield pa.record_batch([pa.array(key, pa.binary()), pa.array(held, pa.binary())], ["node", "tokens"])
+                    key, held = [], []
+            if held:
+                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(held, pa.binary())], ["node", "tokens"])
+
+    got = texts.select("text").mapInArrow(rows, "node binary, tokens binary")
+    # an id may be on several rows: only sets that were asked for stay, each once
+    repeated = members.where("id is not null").groupBy("id").count().where("count > 1")
+    if not repeated.isEmpty():
+        got = got.join(found.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return materialize(got, "tokens")
+
+
+def _tokens(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), K.U64) for x in column]
+
+
+def similar_sets(num: int, den: int):
+    """The rows (a, b, ta, tb) whose sets of hashes ta and tb are similar, as (a, b)."""
+
+    def rows(batches):
+        for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            last: tuple[int | None, np.ndarray] = (None, np.zeros(0, K.U64))
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                others = dict(_sets(part.column("tb"), k))
-                for i, text in enumerate(part.column("ta")):
-                    if a[lo + i] != last[0]:
-                        tokens = next(_sets(pa.array([text.as_py()], pa.string()), k))[1]
-                        last = (int(a[lo + i]), tokens) if set_key(tokens) == a[lo + i] else (None, tokens)
-                    x, y = last[1], others[i]
-                    if last[0] is None or set_key(y) != b[lo + i]:
-                        continue  # another text of a repeated id
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i + lo] = den * both >= num * (len(x) + len(y) - both)
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    with_b = pairs.join(texts.toDF("idb", "tb"), "idb")
-    both = with_b.join(texts.toDF("ida", "ta"), "ida").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(rows, "a long, b long"), "links")
-
-
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members(id, n, node)`` of every row, ``links(a, b)`` that join the classes.
-
-    ``links`` holds verified pairs of set keys that connect all linked sets; pairs
-    inside a component that other links already connect may be left out.
+            for i, (x, y) in enumerate(zip(_tokens(batch.column("ta")), _tokens(batch.column("tb")), strict=True)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = den * both >= num * (len(x) + len(y) - both)
+            yield pa.record_batch([batch.column(x).filter(pa.array(keep)) for x in ("a", "b")], ["a", "b"])
+
+    return rows
+
+
+def compared(pairs: DataFrame, tokens: DataFrame, similar) -> DataFrame:
+    """The pairs (a, b) of nodes whose ``tokens(node, tokens)`` the kernel ``similar`` finds similar."""
+    both = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return materialize(both.mapInArrow(similar, f"a {kind}, b {kind}"), "links")
+
+
+def bucket_links(tiny: DataFrame, larger: DataFrame, sets: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], num: int, den: int, similar) -> tuple[DataFrame, DataFrame]:
+    """(links, tokens): verified ``links(a, b)`` that join all similar sets that share a bucket.
+
+    ``tiny(a, b)`` are the pairs of small buckets, ``larger(bucket, node, k)`` the
+    members of the others; ``tokens_of(nodes)`` gives ``(node, tokens)`` of ``nodes(node)`` as the kernel ``similar`` takes them.
+    """
+    stars = materialize(likely_pairs(hub_pairs(larger.where(F.col("k") > SMALL)), sets, num, den), "stars")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    tokens = tokens_of(ends(stars))
+    links = compared(stars, tokens, similar)
+    # what the stars have not joined
+    roots = components(links)
+    tiny = likely_pairs(tiny, sets, num, den)
+    apart = tiny.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
+    rest = apart.union(rest_pairs(larger, roots, sets, num, den)).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = materialize(rest, "likely")
+    more = tokens_of(ends(rest).join(tokens.select("node"), "node", "left_anti"))
+    tokens = tokens.union(more)
+    return links.union(compared(rest, tokens, similar)), tokens
+
+
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, tokens): ``members(id, n, node)`` of every row, verified ``links(a, b)`` that join the classes.
+
+    The links connect all linked sets; ``link_counts`` counts those too that the
+    components already imply, from ``tokens(node, tokens)``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = materialize(shingle_sizes(docs, k), "members")
     docs = docs.where("id is not null and text is not null")
     named = members.where("id is not null and node is not null").groupBy("node")
-    sets = materialize(named.agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SKETCHES)), "sets")
-    reps = sets.select("node", "id")
+    sets = materialize(named.agg(F.min("addr").alias("addr"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SKETCHES)), "sets")
     shingles = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(1, min(-(-shingles * 6 // (10 * PART_SIGNATURES)), max(20_000, shuffle_partitions(spark))))
     found = _dealt(docs, k, num, den, parts).mapInArrow(_bucket_pairs(num, den), "bucket long, a long, b long")
     found = materialize(found, "candidates")
-    larger = found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct()
-    larger = materialize(larger.join(larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("hub")), "bucket"), "buckets")
-    pairs = found.where("bucket is null").select("a", "b")
-    pairs = pairs.union(larger.where((F.col("k") > SMALL) & (F.col("node") != F.col("hub"))).select("hub", "node"))
-    pairs = likely_pairs(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, num, den)
-    own = larger.where(F.col("k") <= SMALL).select("bucket", "node", F.col("node").alias("root"))
-    pairs = materialize(pairs.union(member_pairs(own, sets, num, den)).distinct(), "likely")
-    links = _verified(pairs, docs, reps, k, num, den)
-    large = larger.where(F.col("k") > SMALL).select("bucket", "node")
-    if not large.isEmpty():
-        root = components(links)
-        tagged = large.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        tagged = materialize(tagged.join(mixed, "bucket"), "mixed")
-        rest = member_pairs(tagged, sets, num, den).join(pairs, ["a", "b"], "left_anti")
-        links = links.union(_verified(rest, docs, reps, k, num, den))
-    return members, links
-
-
-def ngram_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class_id, component_id) of every row of ``docs``.
+    addr = sets.select(F.col("addr").alias("a"), "node")
+    larger = materialize(found.where("bucket is not null").select("bucket", "a").distinct().join(addr, "a").select("bucket", "node"), "buckets")
+    size = larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    larger = larger.join(size.where("k > 1"), "bucket")
+    tiny = found.where("bucket is null").select("a", "b").distinct().join(addr.toDF("a", "x"), "a").join(addr.toDF("b", "y"), "b")
+    tiny = tiny.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links, tokens = bucket_links(tiny, larger, sets, lambda nodes: node_tokens(docs, members, nodes, k), num, den, similar_sets(num, den))
+    return members, links, tokens
+
+
+def _block_links(num: int, den: int):
+    """(node, links) of the sets of each pair of blocks, weighted by the rows of the other set's class."""
+
+    def similar(sets: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(x) for x in sets])
+        held = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        pick = _held_twice(held)
+        held, owner = held[pick], owner[pick]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        if len(held):
+            column = np.cumsum(np.concatenate(([True], held[1:] != held[:-1]))) - 1
+            step = max(1, 4_000_000 // len(sets))
+            for lo in range(0, int(column[-1]) + 1, step):
+                a, b = np.searchsorted(column, [lo, lo + step])
+                table = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
+                table[owner[a:b], column[a:b] - lo] = 1
+                both += table @ table.T
+        both = both.astype(np.int64)
+        return den * both >= num * (sizes[:, None] + sizes[None, :] - both)
+
+    def counted(rows: list[tuple]) -> pa.RecordBatch:
+        node, side, weight, tokens = zip(*rows, strict=True)
+        side, weight = np.array(side), np.array(weight, np.int64)
+        linked = similar(list(tokens))
+        np.fill_diagonal(linked, False)
+        if side.min() != side.max():
+            linked &= side[:, None] != side[None, :]
+        return pa.record_batch([pa.array(node, pa.binary()), pa.array(linked @ weight)], ["node", "links"])
+
+    def rows(batches):
+        at, held = None, []
+        for batch in batches:
+            where = list(zip(*(batch.column(x).to_pylist() for x in ("root", "i", "j")), strict=True))
+            side, weight, node = (batch.column(x).to_pylist() for x in ("block", "w", "node"))
+            for row, tokens in enumerate(_tokens(batch.column("tokens"))):
+                if where[row] != at:
+                    if len(held) > 1:
+                        yield counted(held)
+                    at, held = where[row], []
+                held.append((node[row], side[row], weight[row], tokens.copy()))
+        if len(held) > 1:
+            yield counted(held)
+
+    return rows
+
+
+def link_counts(members: DataFrame, roots: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, links): rows of other classes that each set of ``roots(node, root)`` links with.
+
+    A component of many sets is cut into blocks, and each two blocks meet in one group of bounded size.
+    """
+    named = members.where("id is not null and node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("w"), F.min("n").alias("n"))
+    tied = materialize(roots.join(named, "node"), "tied")
+    cut = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    tied = tied.join(tied.groupBy("root").agg(cut.alias("g")), "root")
+    block = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    tied = tied.select("root", "node", "w", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    tied = tied.select("root", "node", "w", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = tied.join(tokens, "node").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    counts = met.select("root", "i", "j", "node", "block", "w", "tokens").mapInArrow(_block_links(num, den), "node binary, links long")
+    return counts.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def ngram_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """(id, n_shingles, class_id, component_id, n_links) of every row of ``docs``.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the
     smallest id reachable by links; both are the row's own id for an empty set.
+    ``n_links`` is the number of other rows with an id whose sets link with this
+    one's, equal sets included; without ``count_links`` it is left out.
     """
-    members, links = ngram_join(docs, k, num, den, id_col, text_col)
-    reps = members.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("class_id"))
-    tied = components(links).join(reps, "node")
+    members, links, tokens = ngram_join(docs, k, num, den, id_col, text_col)
+    reps = members.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("same"))
+    roots = components(links)
+    tied = roots.join(reps, "node")
     least = tied.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = reps.join(tied.select("node", "root"), "node", "left").join(least, "root", "left")
-    named = named.select("node", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = named.select("node", "class_id", "same", F.coalesce("component_id", "class_id").alias("component_id"))
+    if count_links:
+        named = named.join(link_counts(members, roots, tokens, num, den), "node", "left")
     out = members.join(named, "node", "left")
     known = F.col("id").isNotNull()
-    return out.select(
+    cols = [
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(known, F.coalesce("class_id", "id")).alias("class_id"),
         F.when(known, F.coalesce("component_id", "id")).alias("component_id"),
-    )
+    ]
+    if count_links:
+        cols.append(F.when(known, F.coalesce("same", F.lit(0)) + F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
+    return out.select(*cols)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +527,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int =
 
     Texts without words and rows without an id stay; of rows that repeat an id and a text one stays.
     """
-    told = materialize(ngram_components(docs, k, num, den, id_col, text_col).select(F.col(id_col).alias("_nj_id"), "component_id"), "components")
+    told = materialize(ngram_components(docs, k, num, den, id_col, text_col, count_links=False).select(F.col(id_col).alias("_nj_id"), "component_id"), "components")
     known = told.where("_nj_id is not null")
     gone = materialize(known.where("_nj_id <> component_id").select("_nj_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col] == gone["_nj_id"], "left_anti")
