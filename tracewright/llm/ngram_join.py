@@ -312,7 +312,7 @@ def rest_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     partners, among blocks of their group.
     """
     first = buckets.where(F.col("k") > SMALL).groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(0), "node")).alias("hub"))
-    group = F.coalesce(F.xxhash64(F.lit("hub"), "hub"), "bucket").alias("bucket")
+    group = F.when(F.col("hub").isNotNull(), F.xxhash64(F.lit("hub"), "hub")).otherwise(F.col("bucket")).alias("bucket")
     named = buckets.join(first, "bucket", "left").select(group, "node").distinct()
     named = named.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     count = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
