@@ -6,7 +6,8 @@ all frames of a chunk in lockstep (see ``flac``), verifies header and frame
 checksums, the sample count and the MD5 of the samples, and returns the PCM bytes
 with the byte offset of every frame; ``pcm_blocks`` cuts them to rows that start
 at known samples. All are maps over rows without an exchange, and work on slices
-of ``LANES`` frames, so memory does not follow the length of a stream.
+of ``LANES`` frames, so besides a stream and its samples memory does not follow the
+length of a stream, and time follows it in proportion.
 
 Defined results: null media gives null PCM; a damaged stream raises; ids are only
 passed on, so null or repeated ones do no harm; an empty table gives no rows.
@@ -77,8 +78,15 @@ def encode_media(payloads: DataFrame) -> DataFrame:
     return payloads.select("id", "payload").mapInArrow(_encoded, f"id {kind}, media binary")
 
 
-def _frame_starts(data: np.ndarray, first: np.ndarray, end: np.ndarray, count: np.ndarray) -> np.ndarray | None:
-    """Starts of all frames by their sync codes, or None where those do not say it plainly."""
+#: No frame of BLOCK samples is longer.
+_FRAME_MOST = 1 << 16
+
+
+def _frame_starts(data: np.ndarray, first: np.ndarray, end: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Starts of all frames, by their sync codes, numbers and header checksums.
+
+    Where a residual looks like the header of a frame, the end of the frame before says which it is.
+    """
     padded = np.concatenate((data, np.zeros(12, np.uint8)))
     at = np.flatnonzero((padded[:-3] == 0xFF) & (padded[1:-2] == 0xF8) & (padded[2:-1] == 0x14) & (padded[3:] == 0x02))
     lead = padded[at + 4].astype(np.int64)
@@ -88,11 +96,24 @@ def _frame_starts(data: np.ndarray, first: np.ndarray, end: np.ndarray, count: n
         number = np.where(j <= more, (number << 6) | (padded[at + 4 + np.minimum(j, 7)] & 0x3F), number)
     rows = padded[np.minimum(at[:, None] + np.arange(11), len(padded) - 1)]
     good = flac.crc8(rows, 5 + more) == rows[np.arange(len(at)), np.minimum(5 + more, 10)]
-    stream = np.searchsorted(first, at, "right") - 1
-    good &= (stream >= 0) & (at < end[np.maximum(stream, 0)])
-    at, number = at[good], number[good]
-    expected = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return at if len(at) == len(expected) and (number == expected).all() else None
+    stream = np.maximum(np.searchsorted(first, at, "right") - 1, 0)
+    good &= (at >= first[stream]) & (at < end[stream]) & (number < count[stream])
+    at, number, stream = at[good], number[good], stream[good]
+    place = (np.cumsum(count) - count)[stream] + number
+    found = np.bincount(place, minlength=int(count.sum()))
+    if (found == 0).any():
+        raise ValueError("FLAC: a frame is missing")
+    order = np.argsort(place, kind="stable")
+    at, number, stream = at[order], number[order], stream[order]
+    head = np.cumsum(found) - found
+    starts = at[head]
+    for j in np.flatnonzero(found > 1):
+        here = first[stream[head[j]]]
+        if number[head[j]] > 0:
+            before = int(starts[j - 1])
+            here = before + flac.decode_frames(data[before : before + _FRAME_MOST], np.array([0]), number[head[j] : head[j] + 1] - 1)[1][0]
+        starts[j] = here
+    return starts
 
 
 def decode_rows(media: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -118,19 +139,12 @@ def decode_rows(media: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     starts = _frame_starts(data, first, end, count)
     pcm, ends = [], []
-    if starts is None:  # a residual that looks like a header: find each frame where the last one ends
-        starts = np.zeros(len(number), np.int64)
-        at = 0
-        for i, n in enumerate(count):
-            here = first[i]
-            for j in range(n):
-                starts[at] = here
-                one, stop = flac.decode_frames(data, np.array([here]), np.array([j]))
-                here, at = int(stop[0]), at + 1
     for lo in range(0, len(starts), LANES):
-        x, stop = flac.decode_frames(data, starts[lo : lo + LANES], number[lo : lo + LANES])
+        # the frames of a slice lie together: bit readers are made over its own bytes only
+        base = int(starts[lo])
+        x, stop = flac.decode_frames(data[base : int(starts[lo + LANES]) if lo + LANES < len(starts) else len(data)], starts[lo : lo + LANES] - base, number[lo : lo + LANES])
         pcm.append((x.astype(np.int8).view(np.uint8) ^ 0x80).tobytes())
-        ends.append(stop)
+        ends.append(stop + base)
     raw, ends = b"".join(pcm), np.concatenate(ends) if ends else np.zeros(0, np.int64)
     frames = np.concatenate(([0], np.cumsum(count)))
     last = np.repeat(end, count)

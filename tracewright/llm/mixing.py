@@ -1,6 +1,7 @@
 """Operator 5: mixing sources to target weights by hash-threshold histograms.
 
-Every row has a hash that its id and text decide. Sizes are summed by source and
+Every row has a hash that its id, source and text decide, and among equal rows a
+running number, so rows that lack an id or repeat one are taken one by one too. Sizes are summed by source and
 leading hash bits; the bucket in which a source's budget ends is the only one
 that is summed again by the next bits, and so on. The result is one hash
 threshold for each source and copy, and a filter takes the rows below it: no
@@ -8,8 +9,10 @@ sort, and a hot source is only a thousand partial sums from each task.
 Thresholds of the first and second copy are nested by construction.
 
 Defined results: a null or wordless text has size 0 and takes 0; null is a source
-of its own, after all others; repeated rows share a hash and are taken together;
-an empty table gives no rows. Only the id, text and source columns are read.
+of its own, after all others; an empty table gives no rows. Of rows equal in id,
+source and text it is decided how many are taken; where other columns tell them
+apart, the layout of the table decides which. Only the id, text and source columns
+are read; columns whose names start with ``_mix_`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import SPACE, materialize
 WEIGHTS = (3, 1, 2)
 #: Hash bits of each level of the histograms.
 LEVELS = (10, 10, 10)
+#: Keys of repeated rows that are broadcast at most; beyond it both sides are shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def word_count(text) -> F.Column:
@@ -92,9 +97,39 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("source", "copy", F.col("low").alias("below"))
 
 
-def _hash(id_col: str) -> F.Column:
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" mix")))
-    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - sum(LEVELS))
+def _key(id_col: str, text_col: str, source_col: str) -> F.Column:
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    text = F.col(text_col)
+    return F.md5(F.concat(part(F.col(id_col)), F.lit("|"), part(F.col(source_col)), F.lit("|"), part(text.isNull()), F.md5(part(text))))
+
+
+def _hash() -> F.Column:
+    told = F.md5(F.concat("_mix_key", F.lit(" "), F.col("_mix_nth").cast("string")))
+    return F.shiftright(F.conv(F.substring(told, 1, 8), 16, 10).cast("long"), 32 - sum(LEVELS))
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows(_mix_key, ...)`` with ``_mix_nth``, from 0 among the rows of each of the keys ``repeated``.
+
+    Rows are counted by task first, so a key on any share of the rows is spread
+    over the tasks, and meets itself only as one count from each.
+    """
+    count = repeated.count()
+    if count == 0:
+        return rows.withColumn("_mix_nth", F.lit(0).cast("long"))
+    repeated = F.broadcast(repeated) if count <= BROADCAST_KEYS else repeated
+    once = rows.join(repeated, "_mix_key", "left_anti").withColumn("_mix_nth", F.lit(0).cast("long"))
+    more = materialize(rows.withColumn("_mix_part", F.spark_partition_id()).join(repeated, "_mix_key", "left_semi"), "repeated")
+    sizes = more.groupBy("_mix_key", "_mix_part").agg(F.count(F.lit(1)).alias("_mix_n"))
+    before = Window.partitionBy("_mix_key").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("_mix_key", "_mix_part", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_from"))
+    here = Window.partitionBy("_mix_key", "_mix_part").orderBy("_mix_key")
+    more = more.withColumn("_mix_at", F.row_number().over(here)).join(start, ["_mix_key", "_mix_part"])
+    return once.unionByName(more.withColumn("_mix_nth", F.col("_mix_from") + F.col("_mix_at") - 1).select(*once.columns))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("_mix_key").count().where("count > 1").select("_mix_key"), "keys")
 
 
 def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
@@ -113,14 +148,18 @@ def _copies() -> F.Column:
     return (F.col("h") < F.col("b1")).cast("int") + (F.col("h") < F.col("b2")).cast("int")
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col).alias("h"))
-    return materialize(rows, "sizes")
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, source, size, h) of every row, and the keys that several rows share."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _key(id_col, text_col, source_col).alias("_mix_key"))
+    rows = materialize(rows, "sizes")
+    repeated = _repeated(rows)
+    told = _numbered(rows, repeated).select("id", "source", "size", _hash().alias("h"))
+    return materialize(told, "hashes"), repeated
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source, source_size, target, copies, taken) of every row of ``docs``."""
-    rows = _sized(docs, id_col, text_col, source_col)
+    rows, _ = _sized(docs, id_col, text_col, source_col)
     plan = mixing_plan(rows, weights, share).withColumnRenamed("source", "s")
     out = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))  # one row for each source, so Spark broadcasts it while it is small
     out = out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", F.round("target", 3).alias("target"), _copies().alias("copies"))
@@ -129,8 +168,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
-    plan = mixing_plan(_sized(docs, id_col, text_col, source_col), weights, share).select(F.col("source").alias("_mix_s"), F.col("b1").alias("_mix_1"), F.col("b2").alias("_mix_2"))
+    rows, repeated = _sized(docs, id_col, text_col, source_col)
+    plan = mixing_plan(rows, weights, share).select(F.col("source").alias("_mix_s"), F.col("b1").alias("_mix_1"), F.col("b2").alias("_mix_2"))
     plan = materialize(plan, "plan")
-    out = docs.withColumn("_mix_h", _hash(id_col)).join(plan, docs[source_col].eqNullSafe(plan["_mix_s"]))
+    names = [c for c in docs.columns if not c.startswith("_mix_")]
+    told = _numbered(docs.select(*names, _key(id_col, text_col, source_col).alias("_mix_key")), repeated).withColumn("_mix_h", _hash())
+    out = told.join(plan, told[source_col].eqNullSafe(plan["_mix_s"]))
     copies = (F.col("_mix_h") < F.col("_mix_1")).cast("int") + (F.col("_mix_h") < F.col("_mix_2")).cast("int")
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("_mix_n")).drop("_mix_n")
+    return out.select(*names, F.explode(F.array_repeat(F.lit(0), copies)).alias("_mix_again")).drop("_mix_again")

@@ -96,11 +96,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM q
     """,
     "op5_source_mixing": r"""
-        WITH d AS (
+        WITH n AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS nth FROM documents
+        ), d AS (
             SELECT doc_id, source,
                 COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || ' mix'), 1, 8))::BIGINT >> 2 AS h
-            FROM documents
+                ('0x' || substr(md5(md5(COALESCE(doc_id::VARCHAR, '') || '|' || COALESCE(source, '') || '|'
+                    || (text IS NULL)::VARCHAR || md5(COALESCE(text, ''))) || ' ' || nth), 1, 8))::BIGINT >> 2 AS h
+            FROM n
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size,
                 [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w

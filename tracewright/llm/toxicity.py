@@ -9,7 +9,8 @@ a documented bound taken by hash; scoring is a map over all whole texts.
 
 Defined results: a null or empty text gets the score of the bias; a null id is
 never held out and carries no label; of several labels for one id the largest
-counts, a null label is none; without labels every score is 0; repeated rows get
+counts, a null label is none; of rows that repeat an id one text is learned from;
+without labels every score is 0; repeated rows get
 equal scores. Only ids, texts and labels are read, and only texts make scores.
 """
 
@@ -85,9 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int =
     known = known.withColumn("turn", F.xxhash64(F.lit("turn"), F.col("id")))
     total = known.count()
     share = min(1.0, max_train / max(total, 1))
-    # max_train rows at most, so the broadcast has a bound
+    # max_train ids at most, so the broadcast has a bound, and no more texts: of rows that repeat an id the one of least hash
     some = known.where(F.pmod(F.xxhash64(F.lit("train"), F.col("id")), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("turn").limit(max_train)
-    texts = docs.join(F.broadcast(some), "id").select("turn", "label", "text")
+    texts = docs.join(F.broadcast(some), "id").groupBy("turn", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     encoded = texts.mapInArrow(_encoded(bits), "turn long, label int, feats binary")
 
     def fit(batches):
