@@ -102,12 +102,29 @@ def _meetings(batches):
         yield from pair_buckets(node, np.ones(len(node), np.int64), np.concatenate(sigs), 1, 1)
 
 
-def _sets(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int):
-    """The distinct shingles of each line."""
+#: Lines whose shingles are told apart by the low bits of one sorted array.
+LANES = 256
+
+
+def _sets(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct (56 bits of a shingle, number of its line in 8 bits) of at most LANES lines."""
     shingles, line = L.char_shingles(data, starts, ends, k)
-    cut = np.searchsorted(line, np.arange(len(starts) + 1))
-    for i in range(len(starts)):
-        yield np.unique(shingles[cut[i] : cut[i + 1]])
+    return np.unique((shingles & ~K.U64(LANES - 1)) | line.astype(K.U64))
+
+
+def _sketched(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set size of each line, and its parity sketch (see ``ngram_join.sketch``)."""
+    n, bits = np.zeros(len(starts), np.int64), np.zeros((SKETCH, len(starts)), np.int64)
+    width = 64 * SKETCH
+    for lo in range(0, len(starts), LANES):
+        held = _sets(starts[lo : lo + LANES], ends[lo : lo + LANES], data, k)
+        lines = min(LANES, len(starts) - lo)
+        line = (held & K.U64(LANES - 1)).astype(np.int64)
+        n[lo : lo + lines] = np.bincount(line, minlength=lines)
+        bit = ((K.mix(held >> K.U64(8)) >> K.U64(33)) % K.U64(width)).astype(np.int64)
+        odd = (np.bincount(line * width + bit, minlength=lines * width) & 1).astype(np.uint8).reshape(lines, width)
+        bits[:, lo : lo + lines] = np.packbits(odd, axis=1).view(np.int64).T
+    return n, bits
 
 
 def _lines_of(needed, k: int):
@@ -130,27 +147,30 @@ def _lines_of(needed, k: int):
                 seen.update(once.tolist())
                 raw = data.tobytes()
                 text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                n, bits = np.zeros(len(once), np.int64), np.zeros((SKETCH, len(once)), np.int64)
-                for i, tokens in enumerate(_sets(starts[at], ends[at], data, k)):
-                    n[i] = len(tokens)
-                    bits[:, i] = sketch(tokens)
+                n, bits = _sketched(starts[at], ends[at], data, k)
                 yield pa.record_batch([pa.array(K.signed(once)), pa.array(text), pa.array(n), *(pa.array(x) for x in bits)], ["key", "text", "n", *SKETCHES])
 
     return rows
 
 
 def _similar(k: int, num: int, den: int):
-    def sets(column):
-        for _, _, data, offsets in K.chunks(column):
-            yield from _sets(offsets[:-1], offsets[1:], data, k)
+    """The rows (a, b, ta, tb) whose lines ta and tb are similar, as (a, b)."""
+
+    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        held = _sets(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], data, k)
+        return held, np.bincount((held & K.U64(LANES - 1)).astype(np.int64), minlength=len(column))
 
     def rows(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = den * both >= num * (len(x) + len(y) - both)
-            yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            for lo in range(0, batch.num_rows, LANES):
+                (x, nx), (y, ny) = (sets(batch.column(c).slice(lo, LANES)) for c in ("ta", "tb"))
+                both = np.bincount((np.intersect1d(x, y, assume_unique=True) & K.U64(LANES - 1)).astype(np.int64), minlength=len(nx))
+                keep[lo : lo + LANES] = den * both >= num * (nx + ny - both)
+            yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return rows
 
@@ -167,12 +187,16 @@ def _needed_lines(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return materialize(got.groupBy("key").agg(*(F.min(c).alias(c) for c in ("text", "n", *SKETCHES))), "lines")
 
 
-def line_links(docs: DataFrame, k: int = 6, num: int = 75, den: int = 100, rows: int = 5, bands: int = 20) -> DataFrame:
-    """Verified links (a, b) of line keys that join all similar lines found in ``docs(id, text)``.
+#: Bands that one task sorts.
+PART_BANDS = 3_000_000
+
+
+def line_links(docs: DataFrame, n_lines: int, k: int = 6, num: int = 75, den: int = 100, rows: int = 5, bands: int = 20) -> DataFrame:
+    """Verified links (a, b) of line keys that join all similar lines found in ``docs(id, text)`` of ``n_lines`` lines.
 
     Lines that share a band are candidates; parity sketches rule out pairs that cannot be similar.
     """
-    parts = max(1, shuffle_partitions(docs.sparkSession))
+    parts = max(1, shuffle_partitions(docs.sparkSession), -(-n_lines * bands // PART_BANDS))
     dealt = docs.mapInArrow(_bands(k, rows, bands, parts), "part int, keys binary, bands binary").repartitionById(parts, "part")
     found = materialize(dealt.mapInArrow(_meetings, "bucket long, a long, b long"), "candidates")
     larger = materialize(found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct(), "buckets")
@@ -213,14 +237,16 @@ def dedup_lines(docs: DataFrame, k: int = 6, num: int = 75, den: int = 100, rows
     told = told.withColumn("version", F.xxhash64("text"))
     seen = materialize(told.mapInArrow(_occurrences, "key long, doc long, version long, line int"), "occurrences")
     place = F.struct("doc", "line")
-    firsts = seen.groupBy("key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c"))
-    root = components(line_links(told.select("id", "text"), k, num, den, rows, bands)).withColumnRenamed("node", "key")
-    tied = firsts.join(root, "key").select("key", "root", "f")
+    firsts = materialize(seen.groupBy("key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")), "firsts")
+    root = components(line_links(told.select("id", "text"), seen.count(), k, num, den, rows, bands)).withColumnRenamed("node", "key")
+    small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+    tied = materialize(firsts.join(small(root), "key").select("key", "root", "f"), "tied")
     least = tied.groupBy("root").agg(F.min("f").alias("rf"))
     tied = tied.join(least, "root").select(F.col("key").alias("tk"), "rf")
-    several = firsts.join(tied, firsts["key"] == tied["tk"], "left").where("c > 1 or rf is not null")
+    tied = materialize(tied, "least")
+    several = firsts.join(small(tied), firsts["key"] == tied["tk"], "left").where("c > 1 or rf is not null")
     keep = materialize(several.select("key", F.coalesce("rf", "f").alias("first")), "keep")
-    gone = seen.join(keep, "key").where(place != F.col("first")).select("doc", "version", "line", "key")
+    gone = seen.join(small(keep), "key").where(place != F.col("first")).select("doc", "version", "line", "key")
     gone = materialize(gone, "gone")
     # rows of one id, or of none, meet only the lines of their own text
     ids = materialize(gone.select("doc", "version").distinct(), "ids")

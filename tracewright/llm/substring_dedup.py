@@ -8,13 +8,15 @@
    different surroundings, the first unit of each is compared window by window.
 3. Texts with repeats are cut and hashed.
 
-Words are compared by 64-bit hashes; windows are judged on the input.
+Words are compared by 64-bit hashes, units by their name and a 64-bit hash of all
+words they span, windows by 96 bits; windows are judged on the input.
 
 Defined results: a null or empty text has no words; fewer than ``width`` words
-are never removed; a row without an id sorts last, and all such rows count as one
-document; rows that repeat an id are one document by position, each with its own
-text. Of copies of one text, all rows but those with the smallest id lose every
-word. Only the id and text columns are read.
+are never removed; a row without an id sorts last. Where an id is on several rows,
+or several rows have none, each of their texts is a document of its own: they
+follow each other by a hash of their words, and equal ones are one document. Of
+copies of one text, all rows but those with the smallest id lose every word. Only
+the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,23 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, shuffle_partitions
+from .common import SPACE, materialize, shuffle_partitions
 from .recompression import anchors
 
 LAST = (1 << 63) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Ids that are broadcast at most; beyond it texts and ids meet by shuffle.
 BROADCAST_IDS = 500_000
-_TAG = (1 << 24) - 1
+#: Words of texts, and windows, in one part of the shuffles.
+PART_WORDS, PART_WINDOWS = 4_000_000, 1_000_000
+_CHECK = (1 << 32) - 1
 
 
-def _span(start: np.ndarray, size: np.ndarray, tag: np.ndarray, done: np.ndarray) -> np.ndarray:
-    """One long: start of 33 bits, size of 5 bits, done of 1 bit, tag of 24 bits."""
-    return (start << 30) | (size << 25) | (done.astype(np.int64) << 24) | tag
+def _span(start: np.ndarray, size: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """One long: start of 31 bits, then 32 bits that hold size and done, or of a window more bits of its hash."""
+    return (start << 32) | (size << 1) | done.astype(np.int64)
 
 
-def _unspan(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return span >> 30, (span >> 25) & 31, span & _TAG, (span >> 24) & 1
+def _unspan(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return span >> 32, (span >> 1) & 0xFFFF, span & 1
 
 
 def _texts(column: pa.Array):
@@ -93,35 +97,42 @@ def _scan(batches):
             yield pa.record_batch([batch.column("id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(key)), pa.array(sha)], ["id", "n", "key", "sha"])
 
 
+def _is_later(doc: np.ndarray, version: np.ndarray, start: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Whether a place comes after that of ``lead``, the least place of its group."""
+    return (doc != doc[lead]) | (version != version[lead]) | (start != start[lead])
+
+
 def _first_of(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Mark as done the units that an equal earlier unit of the same task precedes."""
-    name, block, doc, span = (np.concatenate(x) for x in zip(*rows, strict=True))
-    start = span >> 30
-    order = np.lexsort((start, doc, block, name))
-    name, block, doc, span, start = name[order], block[order], doc[order], span[order], start[order]
+    name, block, doc, version, span = (np.concatenate(x) for x in zip(*rows, strict=True))
+    start = span >> 32
+    order = np.lexsort((start, version, doc, block, name))
+    name, block, doc, version, span, start = (x[order] for x in (name, block, doc, version, span, start))
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
     at = np.flatnonzero(new)
     lead = np.repeat(at, np.diff(np.append(at, len(name))))
-    later = (doc > doc[lead]) | (start > start[lead])
+    later = _is_later(doc, version, start, lead)
     # what is done needs no comparison, so it is dealt by its own place
-    name = np.where(later, K.signed(K.mix((doc ^ span).view(K.U64))), name)
-    return [name, block, doc, span | (later.astype(np.int64) << 24)]
+    name = np.where(later, K.signed(K.mix((doc ^ version ^ span).view(K.U64))), name)
+    return [name, block, doc, version, span | later]
 
 
 def _units(width: int):
+    names = ["name", "block", "doc", "version", "span"]
+
     def rows(batches):
-        seen: dict[int, int] = {}
+        seen: dict[tuple[int, int], int] = {}
         held: list[list[np.ndarray]] = []
         size = 0
 
         def flush():
             out = _first_of(held)
             for lo in range(0, len(out[0]), 100_000):
-                yield pa.record_batch([pa.array(x[lo : lo + 100_000]) for x in out], ["name", "block", "doc", "span"])
+                yield pa.record_batch([pa.array(x[lo : lo + 100_000]) for x in out], names)
 
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, versions = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("id", "version"))
             for lo, hi, _, _, _, first, hashed, keys in _texts(batch.column("text")):
                 use = np.zeros(hi - lo, bool)
                 for i in np.flatnonzero(np.diff(first) >= width):
@@ -139,8 +150,7 @@ def _units(width: int):
                 p, k, name = anchors(hashed, row, first, width)
                 block = _spans_hash(_spread(hashed), p, p + k + width - 1)
                 at = row[p]
-                tag = (keys[at] & K.U64(_TAG)).astype(np.int64)
-                held.append([K.signed(name), K.signed(block), ids[lo + at].astype(np.int64), _span(p - first[at], k, tag, np.zeros(len(p), bool))])
+                held.append([K.signed(name), K.signed(block), ids[lo + at], versions[lo + at], _span(p - first[at], k, np.zeros(len(p), bool))])
                 size += len(p)
                 if size > 400_000:
                     yield from flush()
@@ -157,80 +167,79 @@ def _gathered(batches, names: list[str]) -> list[np.ndarray] | None:
 
 
 def _repeats(batches):
-    """Of all units of some names: (doc, span, state), 1 a repeat, 2 to be compared by windows."""
-    got = _gathered(batches, ["name", "block", "doc", "span"])
+    """Of all units of some names: (doc, version, span, state), 1 a repeat, 2 to be compared by windows."""
+    got = _gathered(batches, ["name", "block", "doc", "version", "span"])
     if got is None:
         return
-    name, block, doc, span = got
-    start, _, _, done = _unspan(span)
-    ready = done == 1
+    out = lambda pick, state: pa.record_batch([*(pa.array(x[pick]) for x in (doc, version, span)), pa.array(np.full(pick.sum(), state, np.int8))], ["doc", "version", "span", "state"])
+    name, block, doc, version, span = got
+    ready = (span & 1) == 1
     if ready.any():
-        yield pa.record_batch([pa.array(doc[ready]), pa.array(span[ready]), pa.array(np.ones(ready.sum(), np.int8))], ["doc", "span", "state"])
-        name, block, doc, span, start = (x[~ready] for x in (name, block, doc, span, start))
+        yield out(ready, 1)
+        name, block, doc, version, span = (x[~ready] for x in (name, block, doc, version, span))
     order = np.argsort(name, kind="stable")
     same = name[order][1:] == name[order][:-1]
     order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
-    name, block, doc, span, start = name[order], block[order], doc[order], span[order], start[order]
+    name, block, doc, version, span = (x[order] for x in (name, block, doc, version, span))
     if len(name) == 0:
         return
-    order = np.lexsort((start, doc, block, name))
-    name, block, doc, span, start = name[order], block[order], doc[order], span[order], start[order]
+    start = span >> 32
+    order = np.lexsort((start, version, doc, block, name))
+    name, block, doc, version, span, start = (x[order] for x in (name, block, doc, version, span, start))
     new_name = np.concatenate(([True], name[1:] != name[:-1]))
     new_block = new_name | np.concatenate(([True], block[1:] != block[:-1]))
     at = np.flatnonzero(new_block)
-    lead = np.repeat(at, np.diff(np.append(at, len(name))))
-    repeat = (doc > doc[lead]) | (start > start[lead])
+    repeat = _is_later(doc, version, start, np.repeat(at, np.diff(np.append(at, len(name)))))
     heads = np.flatnonzero(new_name)
     blocks = np.add.reduceat(new_block.astype(np.int64), heads)
     mixed = np.repeat(blocks > 1, np.diff(np.append(heads, len(name))))
     for state, pick in ((1, repeat), (2, ~repeat & mixed)):
         if pick.any():
-            yield pa.record_batch([pa.array(doc[pick]), pa.array(span[pick]), pa.array(np.full(pick.sum(), state, np.int8))], ["doc", "span", "state"])
+            yield out(pick, state)
 
 
-def _own(batch, i: int, keys: np.ndarray, at: int) -> np.ndarray:
-    """The spans that came with row ``at``, without those of other texts of its id."""
-    span = np.asarray(batch.column("spans")[at].values.to_numpy(zero_copy_only=False), np.int64)
-    return span[(span & _TAG) == int(keys[i] & K.U64(_TAG))]
+def _own(batch, at: int) -> np.ndarray:
+    """The spans that came with row ``at``."""
+    return np.asarray(batch.column("spans")[at].values.to_numpy(zero_copy_only=False), np.int64)
 
 
 def _windows(width: int):
+    """(name, doc, version, span) of all windows of the spans; the low half of a span holds more of the window's hash."""
+
     def rows(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for lo, hi, _, _, _, first, hashed, keys in _texts(batch.column("text")):
+            ids, versions = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("id", "version"))
+            for lo, hi, _, _, _, first, hashed, _ in _texts(batch.column("text")):
                 if len(hashed) < width:
                     continue
-                total = _spread(hashed)
+                total, other = _spread(hashed), _spread(K.mix(hashed + K.U64(0x632BE59BD9B4E019)))
                 out: list[list[np.ndarray]] = []
                 for i in range(hi - lo):
-                    span = _own(batch, i, keys, lo + i)
-                    if len(span) == 0:
-                        continue
-                    start, size, tag, _ = _unspan(span)
+                    span = _own(batch, lo + i)
+                    start, size, _ = _unspan(span)
                     p = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    hash_ = _spans_hash(total, p + first[i], p + first[i] + width)
-                    one = np.ones(len(p), np.int64)
-                    out.append([K.signed(hash_), np.full(len(p), ids[lo + i], np.int64), _span(p, one, np.repeat(tag, size), one * 0)])
+                    a = p + first[i]
+                    check = (_spans_hash(other, a, a + width) & K.U64(_CHECK)).astype(np.int64)
+                    out.append([K.signed(_spans_hash(total, a, a + width)), np.full(len(p), ids[lo + i]), np.full(len(p), versions[lo + i]), (p << 32) | check])
                 if out:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["name", "doc", "span"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["name", "doc", "version", "span"])
 
     return rows
 
 
 def _later(batches):
-    """(doc, span) of all but the first of each window."""
-    got = _gathered(batches, ["name", "doc", "span"])
+    """(doc, version, span) of all but the first of each window."""
+    got = _gathered(batches, ["name", "doc", "version", "span"])
     if got is None:
         return
-    name, doc, span = got
-    start = span >> 30
-    order = np.lexsort((start, doc, name))
-    name, doc, span, start = name[order], doc[order], span[order], start[order]
-    at = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-    lead = np.repeat(at, np.diff(np.append(at, len(name))))
-    later = (doc > doc[lead]) | (start > start[lead])
-    yield pa.record_batch([pa.array(doc[later]), pa.array(span[later])], ["doc", "span"])
+    name, doc, version, span = got
+    start, check = span >> 32, span & _CHECK
+    order = np.lexsort((start, version, doc, check, name))
+    name, check, doc, version, start = (x[order] for x in (name, check, doc, version, start))
+    at = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (check[1:] != check[:-1]))))
+    later = _is_later(doc, version, start, np.repeat(at, np.diff(np.append(at, len(name)))))
+    some = start[later]
+    yield pa.record_batch([pa.array(doc[later]), pa.array(version[later]), pa.array(_span(some, np.ones(len(some), np.int64), np.zeros(len(some), bool)))], ["doc", "version", "span"])
 
 
 def _cut(width: int):
@@ -240,10 +249,7 @@ def _cut(width: int):
             for lo, hi, data, starts, ends, first, _, keys in _texts(batch.column("text")):
                 raw = data.tobytes()
                 for i in range(hi - lo):
-                    span = _own(batch, i, keys, lo + i)
-                    if len(span) == 0:
-                        continue
-                    start, size, _, _ = _unspan(span)
+                    start, size, _ = _unspan(_own(batch, lo + i))
                     n = first[i + 1] - first[i]
                     gone = np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(start + size + width - 1, minlength=n + 1))[:n] > 0
                     keep = np.flatnonzero(~gone) + first[i]
@@ -258,28 +264,35 @@ def _cut(width: int):
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The texts that have spans, with the list of them (no longer than the text)."""
-    ids = materialize(spans.select("doc").distinct(), "ids")
-    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["id"] == ids["doc"], "left_semi")
-    lists = spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    return some.join(lists, some["id"] == lists["doc"]).select("id", "text", "spans")
+    ids = materialize(spans.select("doc", "version").distinct(), "ids")
+    own = lambda other: (docs["id"] == other["doc"]) & (docs["version"] == other["version"])
+    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, own(ids), "left_semi")
+    lists = spans.groupBy("doc", "version").agg(F.collect_list("span").alias("spans")).withColumnRenamed("version", "v")
+    return some.join(lists, (some["id"] == lists["doc"]) & (some["version"] == lists["v"])).select("id", "version", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_removed, kept_sha256 (and ``kept``, the words left)."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
     seen = materialize(docs.mapInArrow(_scan, "id long, n long, key long, sha string"), "texts")
-    units = docs.where("text is not null").mapInArrow(_units(width), "name long, block long, doc long, span long")
-    found = materialize(units.repartition(parts, "name").mapInArrow(_repeats, "doc long, span long, state byte"), "units")
-    open_ = _with_spans(docs, found.where("state = 2").select("doc", "span"))
-    windows = open_.mapInArrow(_windows(width), "name long, doc long, span long").repartition(parts, "name")
-    gone = found.where("state = 1").select("doc", "span").union(windows.mapInArrow(_later, "doc long, span long"))
+    once = seen.groupBy("id").count().where("count > 1").isEmpty()
+    # an id alone names a text; else a hash of its words goes with it
+    version = F.lit(0).cast("long") if once else F.xxhash64(F.trim(F.regexp_replace("text", SPACE, " ")))
+    told = docs.where("text is not null").withColumn("version", version)
+    place = "doc long, version long, span long"
+    parts = max(shuffle_partitions(docs.sparkSession), -(-(seen.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
+    units = told.mapInArrow(_units(width), f"name long, block long, {place}")
+    found = materialize(units.repartition(parts, "name").mapInArrow(_repeats, f"{place}, state byte"), "units")
+    mixed = found.where("state = 2").select("doc", "version", "span")
+    windows = mixed.agg(F.sum(F.expr("shiftright(span, 1) & 65535"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-windows // PART_WINDOWS))
+    opened = _with_spans(told, mixed).mapInArrow(_windows(width), f"name long, {place}").repartition(parts, "name")
+    gone = found.where("state = 1").select("doc", "version", "span").union(opened.mapInArrow(_later, place))
     gone = materialize(gone, "repeats")
-    cut = _with_spans(docs, gone).mapInArrow(_cut(width), "id long, key long, n_removed long, sha string, kept string")
+    cut = _with_spans(told, gone).mapInArrow(_cut(width), "id long, key long, n_removed long, sha string, kept string")
     if not with_text:
         cut = cut.drop("kept")
-    cut = materialize(cut.distinct() if not with_text else cut.dropDuplicates(["id", "key"]), "cut")
+    cut = materialize(cut.dropDuplicates(["id", "key"]), "cut")
     first = seen.groupBy("key").agg(F.min("id").alias("first"))
     out = seen.join(first, "key").join(cut.withColumnRenamed("sha", "cut_sha"), ["id", "key"], "left")
     copy = (F.col("n") >= width) & (F.col("id") > F.col("first"))
