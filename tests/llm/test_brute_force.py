@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tracewright.llm import decontamination, flac, jaccard_kernel, kernels, line_dedup, lines, media, ngram_join, pii, recompression, substring_dedup, toxicity
+from tracewright.llm import decontamination, flac, jaccard_kernel, kernels, line_dedup, lines, media, mixing, ngram_join, pii, recompression, substring_dedup, toxicity
 from tracewright.llm.common import components, table
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +100,49 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def links_of(sets):
+    """Linked texts of each one, equal ones included."""
+    out = dict.fromkeys(sets, 0)
+    for a, b in linked(sets):
+        out[a], out[b] = out[a] + 1, out[b] + 1
+    return out
+
+
+def near_copies(n, length=60, changes=4, seed=5):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"w{k}" for k in range(length)]
+        for _ in range(r.randrange(changes)):
+            w[r.randrange(length)] = f"x{r.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_of_a_large_group_are_counted(spark, monkeypatch):
+    """All links of near copies, with blocks smaller than the group; candidates stay a small share of its pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 50)
+    rows = near_copies(600) + [(1000 + i, t) for i, t in near_copies(30, 40, 6, 7)] + [(2000, "other words that nobody repeats here")]
+    sets = {i: shingles(t) for i, t in rows}
+    want, root = links_of(sets), groups(sets, linked(sets))
+    compared, inner = [], ngram_join.compared
+
+    def spied(pairs, *more):
+        compared.append(pairs.count())
+        return inner(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "compared", spied)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (root[i], want[i]) for i in sets}
+    assert sum(compared) < 600 * 600 / 8
+
+
+def test_no_near_copies(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(20 + i))) for i in range(40)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r.component_id, r.n_links, r.n_shingles) == (r.doc_id, 0, 16 + r.doc_id) for r in got) and len(got) == 40
+
+
 def repeats_removed(texts, width=20):
     seen, out = set(), {}
     for i in sorted(texts):
@@ -127,6 +170,53 @@ def test_repeated_runs_of_few_words(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == repeats_removed(rows)
 
 
+@pytest.mark.parametrize("id_", [None, 7])
+def test_repeated_runs_of_rows_with_one_id(spark, id_):
+    """Texts of one id, or of none, are documents of their own: all but one lose a passage they share."""
+    passage = " ".join(f"s{k}" for k in range(30))
+    rows = [(id_, " ".join(f"a{i}x{k}" for k in range(i % 11)) + f" q{i} {passage} r{i}") for i in range(300)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 300 and sorted(r.n_removed for r in got) == [0] + [30] * 299
+
+
+@pytest.mark.parametrize("ids", [[None] * 1500, [7] * 1500, list(range(1500))])
+def test_mix_takes_equal_rows_one_by_one(spark, ids):
+    rows = [(i, "four words of text" if k % 2 else f"own w{k} text here", "abc"[k % 3]) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken, targets = collections.Counter(), {}
+    for r in mixing.mix_sources(docs).collect():
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+    assert all(targets[s] - 4 <= taken[s] <= targets[s] for s in "abc")
+    mixed = collections.Counter(r.source for r in mixing.mixed_documents(docs).collect())
+    assert {s: 4 * n for s, n in mixed.items()} == taken
+
+
+def test_false_headers_inside_a_frame():
+    """A stream whose samples hold the whole header of its next frame."""
+    header, size = flac._header_rows(np.array([1]))
+    false = header[0, : size[0]].tobytes()
+
+    def frame(number, samples):
+        head, n = flac._header_rows(np.array([number]))
+        raw = head[0, : n[0]].tobytes() + bytes([1 << 1]) + samples
+        crc = int(flac.crc16(np.frombuffer(raw, np.uint8)[None], np.array([len(raw)]))[0])
+        return raw + crc.to_bytes(2, "big")
+
+    signed = [(false + bytes(192))[:192], bytes(range(192))]
+    frames = [frame(i, x) for i, x in enumerate(signed)]
+    payload = bytes(b ^ 0x80 for b in b"".join(signed))
+    stream = flac.stream_header(payload, np.array([len(x) for x in frames])) + b"".join(frames)
+    pcm, offsets = media.decode_rows([stream])
+    assert pcm == [payload] and offsets[0].tolist() == [flac.HEADER, flac.HEADER + len(frames[0])]
+
+
+def test_long_streams_take_time_in_proportion():
+    payload = np.random.default_rng(3).integers(97, 123, 192 * 12_000).astype(np.uint8).tobytes()
+    pcm, _ = media.decode_rows(media._encode_rows([payload]))
+    assert pcm == [payload]
+
+
 def test_anchors_depend_on_the_window_alone():
     r = np.random.default_rng(1)
     core = r.integers(0, 50, 60).astype(np.uint64)

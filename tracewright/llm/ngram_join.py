@@ -300,7 +300,9 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     A hub is the node of least hash, so buckets with about the same members have the same hubs.
     """
     hubs = buckets.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64(F.lit(t), "node")).alias(f"h{t}") for t in range(HUBS)))
-    met = buckets.join(hubs, "bucket").select("node", F.explode(F.array_distinct(F.array(*(f"h{t}" for t in range(HUBS))))).alias("hub"))
+    # a node meets the same hubs in most of its buckets: once is enough
+    met = buckets.join(hubs, "bucket").select("node", F.array_distinct(F.array(*(f"h{t}" for t in range(HUBS)))).alias("hubs")).distinct()
+    met = met.select("node", F.explode("hubs").alias("hub"))
     return met.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 

@@ -70,6 +70,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), g AS (
+            SELECT doc_id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[]
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+            FROM w
+        ), n AS (
+            SELECT doc_id, len(g)::BIGINT AS n FROM g
+        ), s AS (
+            SELECT doc_id, n, unnest(g) AS x FROM g JOIN n USING (doc_id)
+        ), link AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) = any_value(a.n) AND any_value(a.n) = any_value(b.n) AS same
+            FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM n
+            UNION
+            SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), c AS (
+            SELECT a, min(b) AS component_id FROM reach GROUP BY a
+        ), l AS (
+            SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS least FROM link GROUP BY a
+        )
+        SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, COALESCE(l.least, n.doc_id)) AS class_id, c.component_id,
+            COALESCE(l.n_links, 0)::BIGINT AS n_links
+        FROM n JOIN c ON c.a = n.doc_id LEFT JOIN l ON l.a = n.doc_id
+    """,
+    "op7_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), v AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20
+        ), seen AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM v
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + j AS p FROM seen, range(20) AS r(j) WHERE again
+        ), lost AS (
+            SELECT doc_id, list(p) AS lost FROM gone GROUP BY doc_id
+        ), cut AS (
+            SELECT w.doc_id, len(w.w) AS n, COALESCE(len(lost), 0) AS n_removed,
+                CASE WHEN lost IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1),
+                    lambda p: NOT list_contains(lost, p)), lambda p: w.w[p]) END AS kept
+            FROM w LEFT JOIN lost USING (doc_id)
+        )
+        SELECT doc_id, n::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(COALESCE(array_to_string(kept, ' '), '')) AS kept_sha256 FROM cut
+    """,
     "op3_byte_prefix_sharding": """
         WITH crc AS (
             SELECT list(v ORDER BY i) AS t FROM (
