@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. All but the last return the columns of ``documents``. The score of the first
-stage is learned, which SQL cannot express, so ``ORACLE_SQL`` is None and the tests
-compare the later stages with brute force on what the first one kept.
+stage is learned, which SQL cannot express, so ``ORACLE_SQL`` is None; the tests
+compare single stages with brute force and check what the whole run returns.
 """
 
 from __future__ import annotations
