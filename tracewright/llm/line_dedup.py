@@ -6,7 +6,7 @@ shingles), and the links are joined to components by distributed contraction.
 The first line of each component stays, by document id and line number; equal
 lines are one node, so a very common line is a partial minimum from each task.
 With ``rows`` = 5 and ``bands`` = 20 a pair at the threshold of 0.75 meets with a
-probability of 0.995; buckets larger than ``SMALL`` are compared by a star first and
+probability of 0.995; buckets larger than ``TINY`` are compared by a star first and
 then between the components left, so no pair of a bucket is dropped.
 
 Lines end at newlines and are compared without outer whitespace; blank lines

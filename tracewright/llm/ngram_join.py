@@ -6,8 +6,8 @@
 2. A parity sketch of each set (bit i: whether an odd number of its hashes fall on
    i) bounds the symmetric difference from below, so pairs it rules out are no
    links; the rest are compared exactly by the sets of their whole texts.
-3. Buckets of more than ``SMALL`` sets first compare all with a few hubs, so that a
-   large group of copies becomes one component by a few stars.
+3. Buckets of more than ``TINY`` sets first compare all with a few hubs, so that a
+   group of copies becomes one component by a few stars, however many buckets it shares.
 4. All other pairs that share a bucket are compared unless that component already
    joins both, so the components are complete and no group emits all its pairs.
 5. ``link_counts`` counts every link: the sets of a component meet in blocks of
@@ -35,8 +35,8 @@ from . import kernels as K
 from .common import components, materialize, shuffle_partitions
 from .jaccard_kernel import Bands, signatures
 
-#: Sets of a bucket up to which its pairs are made at once, and in a join.
-TINY, SMALL = 4, 64
+#: Sets of a bucket up to which its pairs are made at once.
+TINY = 4
 #: Sets of a larger bucket that all its sets are compared with first.
 HUBS = 4
 #: Signatures that one task sorts.
@@ -309,13 +309,13 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 def rest_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Possible pairs a < b of ``buckets(bucket, node, k)`` that share a bucket and not a root of ``roots(node, root)``.
 
-    Larger buckets with the same first hub are one group. Every such pair holds a
+    Buckets with the same first hub are one group, so sets that share many buckets meet
+    in one place. Every such pair holds a
     node outside the most frequent root of its group, so only these nodes look for
     partners, among blocks of their group.
     """
-    first = buckets.where(F.col("k") > SMALL).groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(0), "node")).alias("hub"))
-    group = F.when(F.col("hub").isNotNull(), F.xxhash64(F.lit("hub"), "hub")).otherwise(F.col("bucket")).alias("bucket")
-    named = buckets.join(first, "bucket", "left").select(group, "node").distinct()
+    first = buckets.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(0), "node")).alias("hub"))
+    named = buckets.join(first, "bucket").select(F.xxhash64("hub").alias("bucket"), "node").distinct()
     named = named.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     count = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     count = count.groupBy("bucket").agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("top"))
@@ -387,7 +387,7 @@ def bucket_links(tiny: DataFrame, larger: DataFrame, sets: DataFrame, tokens_of:
     ``tiny(a, b)`` are the pairs of small buckets, ``larger(bucket, node, k)`` the
     members of the others; ``tokens_of(nodes)`` gives ``(node, tokens)`` of ``nodes(node)`` as the kernel ``similar`` takes them.
     """
-    stars = materialize(likely_pairs(hub_pairs(larger.where(F.col("k") > SMALL)), sets, num, den), "stars")
+    stars = materialize(likely_pairs(hub_pairs(larger), sets, num, den), "stars")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     tokens = tokens_of(ends(stars))
     links = compared(stars, tokens, similar)
