@@ -85,7 +85,6 @@ def test_similar_sets_share_a_signature(popular_share):
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """With every bucket taken as large, components stay the same."""
     monkeypatch.setattr(ngram_join, "TINY", 2)
-    monkeypatch.setattr(ngram_join, "TINY", 2)
     r = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     rows = []
