@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shared import checkpointed, shared_path
+from ..schema import SUBMISSION_COLUMNS
 from ..sources import candidate_edges, files, points, table
-from .base import CAND, PTS, query, sql_query
+from .base import CAND, ORACLE_SQL, PTS, query, sql_query
 
 sql_query("SRC02_json_metadata", "SELECT event_id, from_json(props, 'k BIGINT').k AS k FROM {events}", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 
@@ -158,3 +159,25 @@ def tracklet_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("UD14_sequence_expansion", "SELECT o_orderkey, k FROM (SELECT o_orderkey, explode(sequence(1, CAST(1 + o_orderkey % 3 AS INT))) AS k FROM {orders})", "SELECT o_orderkey, k::INTEGER AS k FROM orders, unnest(range(1, 2 + o_orderkey % 3)) u(k)")
+
+
+#: Frames and voxels of the movies.
+SHAPE = (5, 4, 32, 32)
+_OUT = " OR ".join(f"{c} NOT BETWEEN 0 AND {m - 1}" for c, m in zip(("t", "z", "y", "x"), SHAPE, strict=True))
+
+
+@query(
+    "VA01_validation_report",
+    f"""WITH u AS ({ORACLE_SQL['SNK01_unified_table']}), n AS (SELECT dataset, node_id, min(t) AS t, count(*) AS k FROM u WHERE row_type = 'node' GROUP BY 1, 2), e AS (SELECT * FROM u WHERE row_type = 'edge'),
+    j AS (SELECT a.t AS ts, b.t AS tt FROM e LEFT JOIN n a ON a.dataset = e.dataset AND a.node_id = e.source_id LEFT JOIN n b ON b.dataset = e.dataset AND b.node_id = e.target_id)
+    SELECT 'ids' AS rule, count(*) - count(DISTINCT id) AS violations FROM u UNION ALL SELECT 'id_range', count(*) FILTER (WHERE id < 0 OR id >= (SELECT count(*) FROM u)) FROM u
+    UNION ALL SELECT 'nulls', count(*) FILTER (WHERE id IS NULL OR dataset IS NULL OR node_id IS NULL OR t IS NULL OR z IS NULL) FROM u UNION ALL SELECT 'row_type', count(*) FILTER (WHERE row_type NOT IN ('node', 'edge')) FROM u
+    UNION ALL SELECT 'bounds', count(*) FILTER (WHERE row_type = 'node' AND ({_OUT})) FROM u UNION ALL SELECT 'node_fields', count(*) FILTER (WHERE row_type = 'node' AND (source_id <> -1 OR target_id <> -1)) FROM u
+    UNION ALL SELECT 'edge_fields', count(*) FILTER (WHERE node_id <> -1 OR t <> -1 OR z <> -1 OR y <> -1 OR x <> -1) FROM e UNION ALL SELECT 'self_edge', count(*) FILTER (WHERE source_id = target_id) FROM e
+    UNION ALL SELECT 'missing_node', count(*) FILTER (WHERE ts IS NULL OR tt IS NULL) FROM j UNION ALL SELECT 'not_adjacent', count(*) FILTER (WHERE tt <> ts + 1) FROM j UNION ALL SELECT 'duplicate_node', count(*) FROM n WHERE k > 1
+    UNION ALL SELECT 'out_degree', count(*) FROM (SELECT 1 FROM e GROUP BY dataset, source_id HAVING count(*) > 2) UNION ALL SELECT 'in_degree', count(*) FROM (SELECT 1 FROM e GROUP BY dataset, target_id HAVING count(*) > 1)""",
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate links as one table: links of near points break the degree rules, large coordinates the bounds."""
+    rows = checkpointed(unified_table(spark, sf_dir), "unified")
+    return files.validation_report(rows, SUBMISSION_COLUMNS, SHAPE)

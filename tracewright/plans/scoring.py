@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adjusted_jaccard, jaccard
 from ..operators import assign, graph, spatial
-from ..operators.shared import checkpointed
+from ..operators.shared import checkpointed, shared_path
 from ..sources import ground_truth, points
 from .base import pairs_sql, query
 from .joins import GREEDY
@@ -94,8 +94,8 @@ def _true_edges(match: DataFrame, pe: DataFrame, ge: DataFrame) -> DataFrame:
     return k.select("dataset", F.col("ps").isNotNull().alias("has_s"), F.col("pt").isNotNull().alias("has_t"), "found")
 
 
-def division_counts(nodes: DataFrame, match: DataFrame, pe: DataFrame, ge: DataFrame) -> DataFrame:
-    """(dataset, div_tp, div_fp, div_fn) of predicted ``nodes(dataset, node_id)``.
+def division_sets(nodes: DataFrame, match: DataFrame, pe: DataFrame, ge: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found(dataset, s), true(dataset, s, d1, d2), wrong(dataset, s)) of predicted ``nodes(dataset, node_id)``.
 
     A true division is found if one predicted component with a fork holds a match of the
     parent (or of its parent) and of a descendant of either child. Components climb from
@@ -121,8 +121,14 @@ def division_counts(nodes: DataFrame, match: DataFrame, pe: DataFrame, ge: DataF
         found = found.join(seen.withColumnRenamed("g", child), ["dataset", child, "c"], "left_semi")
     found = checkpointed(found.select("dataset", "s").distinct(), "found")
     wrong = forks.join(match, ["dataset", "a"]).select("dataset", F.col("b").alias("s")).join(ge.select("dataset", "s"), ["dataset", "s"], "left_semi").join(found, ["dataset", "s"], "left_anti")
+    return found, true, wrong
+
+
+def division_counts(nodes: DataFrame, match: DataFrame, pe: DataFrame, ge: DataFrame) -> DataFrame:
+    """(dataset, div_tp, div_fp, div_fn); a dataset of ``nodes`` without divisions has zeros."""
+    found, true, wrong = division_sets(nodes, match, pe, ge)
     count = lambda rows, tp, fp, n: rows.select("dataset", F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(n).alias("n"))
-    each = count(p, 0, 0, 0).distinct().union(count(found, 1, 0, 0)).union(count(wrong, 0, 1, 0)).union(count(true, 0, 0, 1))
+    each = count(nodes, 0, 0, 0).distinct().union(count(found, 1, 0, 0)).union(count(wrong, 0, 1, 0)).union(count(true, 0, 0, 1))
     return each.groupBy("dataset").agg(F.sum("tp").alias("div_tp"), F.sum("fp").alias("div_fp"), (F.sum("n") - F.sum("tp")).alias("div_fn"))
 
 
@@ -200,3 +206,91 @@ def official_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sample_rows(spark, sf_dir).agg((F.sum(F.col("adj") * F.col("weight")) / F.when(weight == 0, 1).otherwise(weight)).alias("adj"), *(F.sum(c).alias(c) for c in _SUMS))
     s = s.withColumn("djac", jaccard(F.col("div_tp"), F.col("div_fp"), F.col("div_fn")))
     return s.select(F.round("adj", 6).alias("adjusted_edge_jaccard"), F.round("djac", 6).alias("division_jaccard"), F.round(F.col("adj") + DIVISION_WEIGHT * F.col("djac"), 6).alias("proxy_score"), *_SUMS)
+
+
+@query(
+    "AG37_division_outcomes",
+    f"""{DIVIDED}, fa AS (SELECT DISTINCT an.dataset, an.s FROM (SELECT dv.dataset, dv.s, dv.s AS g FROM dv UNION SELECT dv.dataset, dv.s, ge.s FROM dv JOIN ge ON ge.dataset = dv.dataset AND ge.t = dv.s) an JOIN m ON m.dataset = an.dataset AND m.b = an.g
+        JOIN pf ON pf.dataset = an.dataset AND pf.s = m.a), aa AS (SELECT DISTINCT dataset, s FROM an), mb AS (SELECT dataset, b FROM m)
+    SELECT dv.dataset, CASE WHEN ok.s IS NOT NULL THEN 'tp' WHEN aa.s IS NULL OR x.b IS NULL OR y.b IS NULL THEN 'detection_miss' WHEN fa.s IS NULL THEN 'no_fork' ELSE 'wrong_daughters' END AS outcome, count(*) AS n
+    FROM dv LEFT JOIN ok USING (dataset, s) LEFT JOIN aa USING (dataset, s) LEFT JOIN fa USING (dataset, s) LEFT JOIN mb x ON x.dataset = dv.dataset AND x.b = dv.d1 LEFT JOIN mb y ON y.dataset = dv.dataset AND y.b = dv.d2 GROUP BY 1, 2""",
+)
+def division_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True divisions that are found, whose nodes were missed, that do not fork, or that fork elsewhere."""
+    match, pe, ge = matched_graphs(spark, sf_dir)
+    found, true, _ = division_sets(points(spark, sf_dir), match, pe, ge)
+    forks = pe.groupBy("dataset", F.col("s").alias("a")).count().where("count >= 2")
+    matched = match.select("dataset", F.col("b").alias("g"))
+    anchors = true.select("dataset", "s", F.col("s").alias("g")).union(true.select("dataset", "s").join(ge.select("dataset", F.col("t").alias("s"), F.col("s").alias("g")), ["dataset", "s"]).select("dataset", "s", "g"))
+    forked = anchors.join(match.join(forks, ["dataset", "a"], "left_semi").select("dataset", F.col("b").alias("g")), ["dataset", "g"], "left_semi")
+    told = true
+    for rows, name in ((found, "found"), (anchors.join(matched, ["dataset", "g"], "left_semi"), "anchored"), (forked, "forked")):
+        told = told.join(rows.select("dataset", "s").distinct().withColumn(name, F.lit(True)), ["dataset", "s"], "left")
+    for child in ("d1", "d2"):
+        told = told.join(matched.withColumnRenamed("g", child).withColumn(f"has_{child}", F.lit(True)), ["dataset", child], "left")
+    told = told.fillna(False, ["found", "anchored", "forked", "has_d1", "has_d2"])
+    outcome = F.when(F.col("found"), "tp").when(~(F.col("anchored") & F.col("has_d1") & F.col("has_d2")), "detection_miss").when(~F.col("forked"), "no_fork").otherwise("wrong_daughters")
+    return told.groupBy("dataset", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "GR05_long_or_dividing_components",
+    f"""{DIVIDED} SELECT comp.dataset, comp.c AS component, count(*) AS size, count(pf.s) > 0 AS has_division FROM comp LEFT JOIN pf ON pf.dataset = comp.dataset AND pf.s = comp.node_id
+    GROUP BY comp.dataset, comp.c HAVING count(*) >= 6 OR count(pf.s) > 0""",
+)
+def long_or_dividing_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of six nodes or more, and shorter ones that divide."""
+    e = checkpointed(lineages(points(spark, sf_dir), PREDICTED_UM), "predicted")
+    forks = e.groupBy("dataset", F.col("s").alias("node_id")).count().where("count >= 2").select("dataset", "node_id", F.lit(True).alias("forks"))
+    c = graph.components(e.toDF("dataset", "source_id", "target_id")).join(forks, ["dataset", "node_id"], "left")
+    sized = c.groupBy("dataset", "component").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.bool_or("forks"), F.lit(False)).alias("has_division"))
+    return sized.where("size >= 6 or has_division")
+
+
+@query("SNK03_metric_files", f"{ROWS} SELECT 'per_dataset' AS file, dataset, weight AS weight, round(adj, 6) AS adjusted FROM rows_ UNION ALL SELECT 'summary', 'all', sum(weight)::BIGINT, round(sum(adj * weight) / CASE WHEN sum(weight) = 0 THEN 1 ELSE sum(weight) END, 6) FROM rows_")
+def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV with a row for each movie and one with the summary, read back with their headers checked."""
+    where = shared_path(spark, "metrics")
+    rows = checkpointed(sample_rows(spark, sf_dir), "rows")
+    weight = F.sum("weight")
+    mean = F.sum(F.col("adj") * F.col("weight")) / F.when(weight == 0, 1).otherwise(weight)
+    rows.select("dataset", "weight", F.round("adj", 6).alias("adjusted")).write.csv(f"{where}/per_dataset", header=True)
+    rows.agg(F.lit("all").alias("dataset"), weight.alias("weight"), F.round(mean, 6).alias("adjusted")).write.csv(f"{where}/summary", header=True)
+    read = lambda name: spark.read.csv(f"{where}/{name}", header=True, schema="dataset string, weight long, adjusted double", enforceSchema=False).select(F.lit(name).alias("file"), "*")
+    return read("per_dataset").union(read("summary"))
+
+
+#: Distance in um within which an unmatched source may be the true parent.
+IDENTITY_UM = 3.0
+
+
+@query(
+    "UD15_parent_labels",
+    f"""{SCORED}, kids AS (SELECT dataset, s, count(*) AS n FROM ge GROUP BY dataset, s), lab AS (SELECT mt.dataset, mt.a AS target_id, ms.a AS source_id, ge.s AS parent, CASE WHEN kids.n = 2 THEN 2.0 ELSE 1.0 END AS weight
+        FROM ge JOIN m mt ON mt.dataset = ge.dataset AND mt.b = ge.t JOIN m ms ON ms.dataset = ge.dataset AND ms.b = ge.s JOIN kids ON kids.dataset = ge.dataset AND kids.s = ge.s),
+    {pairs_sql(IDENTITY_UM, 0, 'gt', 'pts', 'amb')}, mask AS (SELECT amb.dataset, amb.a AS parent, count(*) AS masked FROM amb WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.dataset = amb.dataset AND m.a = amb.b) GROUP BY 1, 2),
+    fr AS (SELECT dataset, t, count(*) AS n FROM pts GROUP BY dataset, t)
+    SELECT pts.dataset, pts.node_id AS target_id, coalesce(lab.source_id, -1) AS source_id, coalesce(lab.weight, 0)::DOUBLE AS weight, CASE WHEN lab.source_id IS NULL THEN 0 ELSE coalesce(mask.masked, 0) END AS masked,
+        CASE WHEN lab.source_id IS NULL THEN 0 ELSE fr.n - coalesce(mask.masked, 0) END AS allowed
+    FROM pts LEFT JOIN lab ON lab.dataset = pts.dataset AND lab.target_id = pts.node_id LEFT JOIN mask ON mask.dataset = lab.dataset AND mask.parent = lab.parent LEFT JOIN fr ON fr.dataset = pts.dataset AND fr.t = pts.t - 1""",
+)
+def parent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's known parent, -1 where truth says nothing, and how many sources of the frame before may serve as negatives.
+
+    Sources without a match that lie near the true parent may be that parent: they are masked, not negatives.
+    """
+    match, _, ge = matched_graphs(spark, sf_dir)
+    p, g = points(spark, sf_dir), ground_truth(spark, sf_dir)
+    side = lambda k, v: match.select("dataset", F.col("b").alias(k), F.col("a").alias(v))
+    kids = ge.groupBy("dataset", "s").agg(F.when(F.count(F.lit(1)) == 2, 2.0).otherwise(1.0).alias("weight"))
+    lab = ge.join(side("t", "target_id"), ["dataset", "t"]).join(side("s", "source_id"), ["dataset", "s"]).join(kids, ["dataset", "s"]).withColumnRenamed("s", "parent").drop("t")
+    near = spatial.radius_join(g, p, IDENTITY_UM).select("dataset", F.col("a_node_id").alias("parent"), F.col("b_node_id").alias("a"))
+    mask = near.join(match, ["dataset", "a"], "left_anti").groupBy("dataset", "parent").agg(F.count(F.lit(1)).alias("masked"))
+    frame = p.groupBy("dataset", (F.col("t") + 1).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    rows = p.select("dataset", F.col("node_id").alias("target_id"), "t").join(lab, ["dataset", "target_id"], "left").join(mask, ["dataset", "parent"], "left").join(frame, ["dataset", "t"], "left")
+    known, masked = F.col("source_id").isNotNull(), F.coalesce("masked", F.lit(0))
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        "dataset", "target_id", F.coalesce("source_id", F.lit(-1).cast("long")).alias("source_id"), F.coalesce("weight", F.lit(0.0)).alias("weight"),
+        F.when(known, masked).otherwise(zero).alias("masked"), F.when(known, F.col("n") - masked).otherwise(zero).alias("allowed"),
+    )
