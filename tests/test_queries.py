@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "JN01_endpoint_lookup", "JN05_radius_join", "JN08_knn_join", "JN10_mutual_nearest", "JN12_distance_anti_join", "JN15_anchored_theta_join", "JN23_greedy_one_to_one", "JN28_as_of_join",
     "GR01_degrees", "GR04_components", "GR12_division_geometry", "GR20_walk_lengths", "GR21_descendants", "GR31_stabilised_coordinates", "GR06_rescue_under_budget", "GR13_division_grafts", "GR15_division_rule_reasons",
-    "AG01_edge_confusion", "AG05_error_decomposition", "AG09_grouping_sets", "AG12_percentiles", "AG25_average_precision", "AG26_roc_auc", "AG30_subsample_sensitivity", "AG06_missing_edge_categories", "AG07_sample_metrics", "AG24_best_of_each_parent", "AG27_swap_threshold", "AG35_residuals_before_after", "VA01_validation_report", "UD15_parent_labels",
+    "AG01_edge_confusion", "AG05_error_decomposition", "AG09_grouping_sets", "AG12_percentiles", "AG25_average_precision", "AG26_roc_auc", "AG30_subsample_sensitivity", "AG06_missing_edge_categories", "AG07_sample_metrics", "AG24_best_of_each_parent", "AG28_leave_one_out_fits", "GR09_weak_edge_filter", "GR22_full_context", "SM08_overlapping_chunks", "AG27_swap_threshold", "AG35_residuals_before_after", "VA01_validation_report", "UD15_parent_labels",
     "WN01_line_fit_smoothing", "WN06_neighbour_flow", "WN14_best_so_far", "ST05_group_quota", "SO02_symmetric_difference", "SO06_link_gain_and_loss",
     "PRJ04_clean_probability", "PRJ17_low_margin_blend", "PRJ26_strip_comments", "F08_bytes_little_endian", "F19_array_argmax_unravel",
     "SRC06_csv_exact_header", "SNK01_unified_table", "SNK04_nan_to_null_json", "SNK09_upsert", "VA05_bounds", "SM01_tumbling_window", "SM02_change_events",

@@ -79,3 +79,52 @@ def residuals_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), six(F.avg("b"), "mean_before"), six(F.avg("a"), "mean_after"), six(F.percentile("b", half), "median_before"), six(F.percentile("a", half), "median_after"),
         six(F.avg("a") / F.avg("b") - 1, "rel_change"), six(F.avg((F.col("a") < F.col("b")).cast("double")), "frac_closer"), six(F.avg("m"), "mean_shift"),
     )
+
+
+#: Features of each fit, and the columns they are.
+FITS = (("size", None), ("key", None), ("name", None), ("size", "key"), ("size", "name"), ("key", "name"))
+
+
+def _fit_sql(a: str, b: str | None) -> str:
+    if b is None:
+        return f"SELECT '{a}' AS features, y - s_{a}y / s_{a}{a} * {a} AS e, 1.0 / n + {a} * {a} / s_{a}{a} AS h FROM d, s"
+    det = f"(s_{a}{a} * s_{b}{b} - s_{a}{b} * s_{a}{b})"
+    return f"""SELECT '{a}+{b}' AS features, y - (s_{b}{b} * s_{a}y - s_{a}{b} * s_{b}y) / {det} * {a} - (s_{a}{a} * s_{b}y - s_{a}{b} * s_{a}y) / {det} * {b} AS e,
+        1.0 / n + (s_{b}{b} * {a} * {a} - 2 * s_{a}{b} * {a} * {b} + s_{a}{a} * {b} * {b}) / {det} AS h FROM d, s"""
+
+
+_PRODUCTS = ("size", "size"), ("key", "key"), ("name", "name"), ("size", "key"), ("size", "name"), ("key", "name"), ("size", "y"), ("key", "y"), ("name", "y")
+
+
+@query(
+    "AG28_leave_one_out_fits",
+    f"""WITH p AS (SELECT p_retailprice AS y, p_size::DOUBLE AS size, p_partkey::DOUBLE AS key, length(p_name)::DOUBLE AS name FROM part), m AS (SELECT avg(y) AS my, avg(size) AS ms, avg(key) AS mk, avg(name) AS mn FROM p),
+    d AS (SELECT y - my AS y, size - ms AS size, key - mk AS key, name - mn AS name FROM p, m), s AS (SELECT count(*) AS n, {', '.join(f'sum({a} * {b}) AS s_{a}{b}' for a, b in _PRODUCTS)} FROM d),
+    r AS ({' UNION ALL '.join(_fit_sql(*f) for f in FITS)}) SELECT features, count(*) AS n, round(sqrt(avg(e / (1 - h) * (e / (1 - h)))), 4) AS rms FROM r GROUP BY features""",
+)
+def leave_one_out_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root mean square of leave-one-out residuals of linear fits on one and two features.
+
+    A left-out residual is the residual over one less its leverage, so two passes of sums
+    replace a fit for each row. A fit whose features are constant or collinear has a null.
+    """
+    t = table(spark, sf_dir, "part")
+    p = t.select(F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("size"), F.col("p_partkey").cast("double").alias("key"), F.length("p_name").cast("double").alias("name"))
+    names = ("y", "size", "key", "name")
+    # one row of means and one of sums
+    d = p.join(F.broadcast(p.agg(*(F.avg(c).alias("m_" + c) for c in names)))).select(*((F.col(c) - F.col("m_" + c)).alias(c) for c in names))
+    d = d.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}{b}") for a, b in _PRODUCTS))))
+    s = lambda a, b: F.col(f"s_{a}{b}")
+    fits = []
+    for a, b in FITS:
+        x, z = F.col(a), F.col(b or a)
+        if b is None:
+            det = F.nullif(s(a, a), F.lit(0.0))
+            e, h = F.col("y") - s(a, "y") / det * x, x * x / det
+        else:
+            det = F.nullif(s(a, a) * s(b, b) - s(a, b) * s(a, b), F.lit(0.0))
+            e = F.col("y") - (s(b, b) * s(a, "y") - s(a, b) * s(b, "y")) / det * x - (s(a, a) * s(b, "y") - s(a, b) * s(a, "y")) / det * z
+            h = (s(b, b) * x * x - 2 * s(a, b) * x * z + s(a, a) * z * z) / det
+        fits.append(F.struct(F.lit(f"{a}+{b}" if b else a).alias("features"), (e / (1 - h - 1.0 / F.col("n"))).alias("r")))
+    r = d.select(F.explode(F.array(*fits)).alias("f")).select("f.features", "f.r")
+    return r.groupBy("features").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.col("r") * F.col("r"))), 4).alias("rms"))

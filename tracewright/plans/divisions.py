@@ -11,7 +11,7 @@ from ..functions import um_distance
 from ..operators import graph, spatial
 from ..operators.shared import checkpointed
 from ..sources import candidate_edges, points
-from .base import DIST, PTS, pairs_sql, query
+from .base import CAND, DIST, pairs_sql, query
 from .graphs import COMP, LINKS, links
 
 
@@ -227,3 +227,61 @@ def rescue_under_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.round(F.col("prob") - 0.02 * F.col("um") + 0.004 * F.col("size"), 9)
     got = take_within_budget(short.join(budget, "dataset").select("dataset", "component", score.alias("score"), "size", "budget"))
     return got.select("dataset", "component", "size", F.round("score", 6).alias("score"))
+
+
+#: Least probability of a link that stays.
+WEAK_PROB = 0.3
+
+
+@query(
+    "GR09_weak_edge_filter",
+    f"""WITH {CAND}, keep AS (SELECT * FROM cand WHERE edge_prob >= {WEAK_PROB}), f AS (SELECT dataset, min(t) AS a, max(t) AS b FROM pts GROUP BY dataset)
+    SELECT p.dataset, p.node_id, p.t, (SELECT count(*) FROM keep k WHERE k.dataset = p.dataset AND (k.source_id = p.node_id OR k.target_id = p.node_id)) AS links FROM pts p JOIN f ON f.dataset = p.dataset
+    WHERE p.t = f.a OR p.t = f.b OR EXISTS (SELECT 1 FROM keep k WHERE k.dataset = p.dataset AND (k.source_id = p.node_id OR k.target_id = p.node_id))""",
+)
+def weak_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that stay when weak links go: those with a link left, and those of a movie's first and last frame."""
+    p = points(spark, sf_dir)
+    keep = candidate_edges(spark, sf_dir).where(F.col("edge_prob").isNull() | (F.col("edge_prob") >= WEAK_PROB))
+    degree = graph.degrees(keep).select("dataset", "node_id", (F.col("out_degree") + F.col("in_degree")).alias("links"))
+    frames = p.groupBy("dataset").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    rows = p.select("dataset", "node_id", "t").join(degree, ["dataset", "node_id"], "left").join(frames, "dataset")
+    return rows.where("links is not null or t = first or t = last").select("dataset", "node_id", "t", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(
+    "GR22_full_context",
+    f"""WITH {LINKS} SELECT a.dataset, a.source_id AS b2, a.target_id AS b1, b.target_id AS node_id, c.target_id AS a1, d.target_id AS a2 FROM link a JOIN link b ON b.dataset = a.dataset AND b.source_id = a.target_id
+    JOIN link c ON c.dataset = a.dataset AND c.source_id = b.target_id JOIN link d ON d.dataset = a.dataset AND d.source_id = c.target_id""",
+)
+def full_context(spark: SparkSession, sf_dir: str, h: int = 2) -> DataFrame:
+    """Nodes with ``h`` single links on either side, and the nodes there; others are left out."""
+    e = links(spark, sf_dir)
+    one_back = graph.single_predecessors(e).select("dataset", "node_id", "prev_id")
+    one_forth = graph.single_successors(e).select("dataset", "node_id", "next_id")
+    rows = points(spark, sf_dir).select("dataset", "node_id")
+    for i in range(1, h + 1):
+        back = one_back.toDF("dataset", f"b{i - 1}" if i > 1 else "node_id", f"b{i}")
+        forth = one_forth.toDF("dataset", f"a{i - 1}" if i > 1 else "node_id", f"a{i}")
+        rows = rows.join(back, back.columns[:2]).join(forth, forth.columns[:2])
+    return rows.select("dataset", *(f"b{i}" for i in range(h, 0, -1)), "node_id", *(f"a{i}" for i in range(1, h + 1)))
+
+
+#: Frames of a chunk; a chunk also holds the first frame of the next.
+CHUNK = 2
+
+
+@query(
+    "SM08_overlapping_chunks",
+    f"""WITH {LINKS}, n AS (SELECT dataset, node_id, t, t // {CHUNK} AS chunk FROM pts UNION ALL SELECT dataset, node_id, t, t // {CHUNK} - 1 FROM pts WHERE t % {CHUNK} = 0 AND t > 0),
+    e AS (SELECT l.dataset, p.t // {CHUNK} AS chunk, count(*) AS k FROM link l JOIN pts p ON p.dataset = l.dataset AND p.node_id = l.source_id GROUP BY 1, 2)
+    SELECT n.dataset, n.chunk::BIGINT AS chunk, count(*) AS nodes, count(*) FILTER (WHERE n.t // {CHUNK} <> n.chunk)::BIGINT AS borrowed, coalesce(any_value(e.k), 0) AS owned_links FROM n LEFT JOIN e ON e.dataset = n.dataset AND e.chunk = n.chunk GROUP BY n.dataset, n.chunk""",
+)
+def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of frames that share one frame with the next, so each link lies in one chunk; the chunk of its source owns it."""
+    p = points(spark, sf_dir)
+    own = F.floor(F.col("t") / CHUNK)
+    chunks = F.when((F.col("t") % CHUNK == 0) & (F.col("t") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    nodes = p.select("dataset", "t", F.explode(chunks).alias("chunk")).groupBy("dataset", "chunk").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(own != F.col("chunk")).alias("borrowed"))
+    e = links(spark, sf_dir).join(p.select("dataset", F.col("node_id").alias("source_id"), own.alias("chunk")), ["dataset", "source_id"]).groupBy("dataset", "chunk").agg(F.count(F.lit(1)).alias("owned_links"))
+    return nodes.join(e, ["dataset", "chunk"], "left").fillna(0, ["owned_links"])
