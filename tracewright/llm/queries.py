@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, media, mixing, ngram_join, pii, sharding, substring_dedup, toxicity
+from . import chat, decontamination, filter_audit, line_dedup, media, mixing, ngram_join, pii, sharding, source_divergence, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -56,6 +56,20 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary's place; only this query needs it
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -67,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -190,4 +207,76 @@ ORACLE_SQL: dict[str, str] = {
                 || COALESCE(x.t, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
         FROM one WHERE said NOT IN (SELECT said FROM inner_)
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+                regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS said
+            FROM documents
+        ), w AS (
+            SELECT r, lang, source, unnest(said) AS term FROM d
+        ), kept AS (
+            SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), c AS (
+            SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+        ), dense AS (
+            SELECT g.lang, g.source, kept.term, COALESCE(c.n, 0) AS n
+            FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+        ), p AS (
+            SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER s + count(*) OVER s)::HUGEINT AS p FROM dense WINDOW s AS (PARTITION BY lang, source)
+        ), whole AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1)::HUGEINT // (sum(sum(n)) OVER s + count(*) OVER s)::HUGEINT AS p FROM dense GROUP BY lang, term WINDOW s AS (PARTITION BY lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), all_pairs AS (
+            SELECT a.lang, a.source, b.source AS item, COALESCE(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+        ), terms AS (
+            SELECT p.lang, p.source, p.term AS item, (p.p - q.p) * (p.p - q.p) // q.p AS value
+            FROM p JOIN whole q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p.p > q.p
+        ), ranked AS (
+            SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM all_pairs
+            UNION ALL
+            SELECT 'term' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= 200
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
+    """,
+    "op13_filter_interactions": r"""
+        WITH RECURSIVE o(filter_order, left_over) AS (
+            SELECT '', 'ABCDE'
+            UNION ALL
+            SELECT filter_order || l, replace(left_over, l, '') FROM o, unnest(string_split(left_over, '')) AS u(l) WHERE left_over <> ''
+        ), steps AS (
+            SELECT filter_order, s::INTEGER AS step, filter_order[:s - 1] AS before, filter_order[s] AS letter
+            FROM o, range(1, 6) AS t(s) WHERE left_over = ''
+        ), d AS (
+            SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), lab AS (
+            SELECT doc_id, COALESCE(max(quality = 1), false) AS good, COALESCE(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+        ), f AS (
+            SELECT part, COALESCE(good, false) AS good, COALESCE(toxic, false) AS toxic,
+                CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM d LEFT JOIN lab USING (doc_id)
+        ), k AS (
+            SELECT part, fails, count(*) AS n, count_if(good) AS n_good, count_if(toxic) AS n_toxic FROM f GROUP BY ALL
+        ), j AS (
+            SELECT k.*, steps.*, before = '' OR NOT regexp_matches(fails, '[' || before || '_]') AS passed, contains(fails, letter) AS hit FROM k, steps
+        )
+        SELECT part, filter_order, step,
+            COALESCE(sum(n) FILTER (passed AND NOT hit), 0)::BIGINT AS kept,
+            COALESCE(sum(n) FILTER (passed AND hit), 0)::BIGINT AS removed,
+            COALESCE(sum(n) FILTER (NOT passed AND hit), 0)::BIGINT AS redundant,
+            COALESCE(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+            COALESCE(sum(n_good) FILTER (passed AND hit), 0)::BIGINT AS good_lost,
+            COALESCE(sum(n_toxic) FILTER (passed AND hit), 0)::BIGINT AS toxic_lost,
+            (sum(COALESCE(sum(n) FILTER (passed AND hit), 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM j GROUP BY part, filter_order, step, letter
+    """,
 }
