@@ -1,7 +1,9 @@
-"""One-to-one assignment: greedy by score as a fixed point, optimal by blocks."""
+"""One-to-one assignment: greedy by score as a fixed point, optimal by small blocks and an auction."""
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,25 +13,28 @@ from .graph import components
 from .shared import checkpointed
 
 
-def greedy_one_to_one(pairs: DataFrame, cost: str = "d", max_rounds: int = 200) -> DataFrame:
+#: A component whose cost matrix has at most so many cells is solved in one task.
+SMALL = 250_000
+#: Pairs that one task of the auction holds, about.
+BLOCK_PAIRS = 50_000
+
+
+def greedy_one_to_one(pairs: DataFrame, cost: str = "d") -> DataFrame:
     """The pairs (dataset, a, b) that a loop in order of (cost, a, b) would take, each side once.
 
     A pair that is best for both its ends is taken; what touches it goes. With a
-    total order this ends in the same set as the sequential loop.
+    total order this ends in the same set as the sequential loop. The least pair of
+    all is always taken, so every round makes progress.
     """
     live = checkpointed(pairs.select("dataset", "a", "b", cost), "pairs")
     taken = None
     key = F.struct(cost, "a", "b")
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         best = live.withColumn("ba", F.min(key).over(Window.partitionBy("dataset", "a"))).withColumn("bb", F.min(key).over(Window.partitionBy("dataset", "b")))
         new = checkpointed(best.where((F.col("ba") == key) & (F.col("bb") == key)).select("dataset", "a", "b", cost), "taken")
         taken = new if taken is None else taken.union(new)
         live = live.join(new.select("dataset", "a"), ["dataset", "a"], "left_anti").join(new.select("dataset", "b"), ["dataset", "b"], "left_anti")
         live = checkpointed(live.select("dataset", "a", "b", cost), "pairs")
-    else:
-        raise RuntimeError("greedy matching did not settle")
     return live if taken is None else taken
 
 
@@ -62,16 +67,8 @@ def solve_assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def optimal_one_to_one(pairs: DataFrame, cost: str = "d", big: float = 1e6) -> DataFrame:
-    """Most pairs first, then least total cost, of gated ``pairs(dataset, a, b, cost)``.
-
-    Blocks are the connected components of the gated pairs, so a block is as large
-    as a crowd of points within the gate of each other, not as a frame.
-    """
-    pairs = pairs.select("dataset", "a", "b", F.col(cost).cast("double").alias("cost"))
-    sides = pairs.select("dataset", (F.col("a") * 2).alias("source_id"), (F.col("b") * 2 + 1).alias("target_id"))
-    block = components(sides).where("node_id % 2 = 0").select("dataset", F.expr("node_id div 2").alias("a"), "component")
-    schema = "dataset string, a long, b long, cost double"
+def _solve_small(pairs: DataFrame, big: float) -> DataFrame:
+    """The best assignment of each component of ``pairs(dataset, component, a, b, cost)``, each in one task."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.unique(frame["a"]), np.unique(frame["b"])
@@ -81,4 +78,112 @@ def optimal_one_to_one(pairs: DataFrame, cost: str = "d", big: float = 1e6) -> D
         got = [(frame["dataset"].iloc[0], rows[i], cols[j], table[i, j]) for i, j in enumerate(at) if j < len(cols) and table[i, j] < big]
         return pd.DataFrame(got, columns=["dataset", "a", "b", "cost"])
 
-    return pairs.join(block, ["dataset", "a"]).groupBy("dataset", "component").applyInPandas(solve, schema)
+    return pairs.groupBy("dataset", "component").applyInPandas(solve, "dataset string, a long, b long, cost double")
+
+
+def local_auction(frame: pd.DataFrame, eps: float) -> pd.DataFrame:
+    """Bids of one block's rows until each holds a column at the prices that the block sees.
+
+    ``frame``: row, col, cost, price, owner, sorted or not. Returns col, price and owner of
+    the columns whose owner changed.
+    """
+    cols, at = np.unique(frame["col"].to_numpy(), return_inverse=True)
+    rows, of = np.unique(frame["row"].to_numpy(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    at, cost = at[order], frame["cost"].to_numpy()[order]
+    cut = np.searchsorted(of[order], np.arange(len(rows) + 1))
+    price, holder = np.zeros(len(cols)), np.full(len(cols), -1)
+    price[at], owner = frame["price"].to_numpy()[order], frame["owner"].to_numpy()[order]
+    seen = pd.Series(np.arange(len(rows)), index=rows)
+    holder[at] = seen.reindex(owner).fillna(-1).to_numpy().astype(int)  # -1: none, or a row of another block
+    holds = np.zeros(len(rows), bool)
+    holds[holder[holder >= 0]] = True
+    free, touched = deque(np.flatnonzero(~holds)), np.zeros(len(cols), bool)
+    while free:
+        i = free.popleft()
+        mine = at[cut[i] : cut[i + 1]]
+        paid = cost[cut[i] : cut[i + 1]] + price[mine]
+        best = int(np.argmin(paid))
+        j, least = mine[best], paid[best]
+        paid[best] = np.inf
+        price[j] += paid.min() - least + eps
+        if holder[j] >= 0:
+            free.append(holder[j])
+        holder[j], touched[j] = i, True
+    return pd.DataFrame({"dataset": frame["dataset"].iloc[0], "col": cols[touched], "price": price[touched], "owner": rows[holder[touched]]})
+
+
+def _bidder(eps: float):
+    return lambda frame: local_auction(frame, eps)
+
+
+def auction(pairs: DataFrame, big: float, eps: float, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """(dataset, a, b, cost) of ``pairs(dataset, a, b, cost, place)``: total cost within ``eps`` a row and column of the least.
+
+    Every row gets a column of its own for ``big`` and every column a row of its
+    own for nothing, so all are matched in the end and prices may be kept from one
+    ``eps`` to the next, smaller one. The rows of a block (rows of one ``place``, cut by
+    hash where it has more than ``block_pairs`` pairs) bid in one task at the prices
+    that the last round left; a column goes to the highest bid of all blocks, whoever is
+    outbid bids again. Bids were made at prices that only rise, so each winner stays
+    within ``eps`` of its best choice. Each round raises some price, and only blocks
+    with an outbid row take part; they are grouped anew in every round, all in one
+    task once they fit, so that neighbours of different blocks settle among themselves.
+    """
+    # an exchange that gains a pair costs less than this, so more pairs always win
+    most = pairs.agg(F.max("cost"), F.least(F.countDistinct("dataset", "a"), F.countDistinct("dataset", "b"))).first()
+    big = min(big, most[0] * most[1] + 1)
+    load = pairs.groupBy("dataset", "place").agg(F.count(F.lit(1)).alias("load"))
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("load") / block_pairs))
+    pairs = pairs.join(load, ["dataset", "place"]).withColumn("block", F.xxhash64("dataset", "place", part)).drop("load", "place")
+    pairs = checkpointed(pairs.withColumn("back", F.min("block").over(Window.partitionBy("dataset", "b"))), "blocks")
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    edge = lambda block, row, col, cost: pairs.select("dataset", block, row.alias("row"), col.alias("col"), cost.alias("cost"))
+    block, back = F.col("block"), F.col("back").alias("block")
+    edges = edge(block, 2 * a, 2 * b, F.col("cost")).union(edge(back, 2 * b + 1, 2 * a + 1, zero))
+    edges = edges.union(edge(block, 2 * a, 2 * a + 1, F.lit(float(big))).distinct()).union(edge(back, 2 * b + 1, 2 * b, zero).distinct())
+    edges = checkpointed(edges, "edges")
+    rows = checkpointed(edges.select("dataset", "block", F.col("row").alias("owner")).distinct(), "rows")
+    prices = edges.select("dataset", "col").distinct().withColumns({"price": zero, "owner": F.lit(-1).cast("long")})
+    loads, turn = checkpointed(edges.groupBy("dataset", "block").agg(F.count(F.lit(1)).alias("load")), "loads"), 0
+    steps = [big / 4]
+    while steps[-1] > eps:
+        steps.append(max(steps[-1] / 10, eps))
+    for step in steps:
+        prices = checkpointed(prices.withColumn("owner", F.lit(-1).cast("long")), "prices")
+        while True:
+            owned = prices.where("owner >= 0").select("dataset", "owner")
+            active = checkpointed(rows.join(owned, ["dataset", "owner"], "left_anti").select("dataset", "block").distinct().join(loads, ["dataset", "block"]), "active")
+            load, turn = active.agg(F.sum("load")).first()[0], turn + 1
+            if load is None:
+                break
+            group = F.pmod(F.xxhash64("block", F.lit(turn)), F.lit(-(-load // block_pairs))).alias("block")
+            seen = edges.join(active, ["dataset", "block"]).join(prices, ["dataset", "col"]).select("dataset", group, "row", "col", "cost", "price", "owner")
+            bids = seen.groupBy("dataset", "block").applyInPandas(_bidder(step), "dataset string, col long, price double, owner long")
+            best = prices.unionByName(bids).groupBy("dataset", "col").agg(F.max(F.struct("price", "owner")).alias("m"))
+            prices = checkpointed(best.select("dataset", "col", "m.price", "m.owner"), "prices")
+    taken = prices.where("owner % 2 = 0 and col % 2 = 0").select("dataset", F.expr("owner div 2").alias("a"), F.expr("col div 2").alias("b"))
+    return pairs.join(taken, ["dataset", "a", "b"]).select("dataset", "a", "b", "cost")
+
+
+def optimal_one_to_one(pairs: DataFrame, cost: str = "d", big: float = 1e6, place: str | None = None, eps: float = 1e-4, small: int = SMALL, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """Most pairs first, then least total cost, of gated ``pairs(dataset, a, b, cost)``; ids are not negative.
+
+    Connected components of the gated pairs are independent. Those whose matrix has
+    at most ``small`` cells are solved exactly, each in one task; larger ones by an
+    auction, whose total is within ``eps`` a point of the least. ``place`` may name a
+    column by which rows that compete are likely to be together, such as a grid cell;
+    it steers cost only. Of repeated pairs the cheapest counts; pairs without an end
+    or a cost are left out, and a row that is ``big`` or dearer is no pair.
+    """
+    near = F.col(place) if place else F.lit(0)
+    pairs = pairs.select("dataset", "a", "b", F.col(cost).cast("double").alias("cost"), near.alias("place")).where((F.col("cost") < big) & F.col("a").isNotNull() & F.col("b").isNotNull())
+    pairs = checkpointed(pairs.groupBy("dataset", "a", "b").agg(F.min("cost").alias("cost"), F.min("place").alias("place")), "gated")
+    sides = pairs.select("dataset", (F.col("a") * 2).alias("source_id"), (F.col("b") * 2 + 1).alias("target_id"))
+    block = components(sides).select("dataset", F.expr("node_id div 2").alias("a"), "component", (F.col("node_id") % 2).alias("side"))
+    cells = block.groupBy("dataset", "component").agg((F.sum(1 - F.col("side")) * F.greatest(F.sum(F.col("side")), F.sum(1 - F.col("side")))).alias("cells"))
+    block = block.where("side = 0").join(cells, ["dataset", "component"]).select("dataset", "a", "component", (F.col("cells") <= small).alias("small"))
+    pairs = checkpointed(pairs.join(block, ["dataset", "a"]), "components")
+    solved = _solve_small(pairs.where("small").select("dataset", "component", "a", "b", "cost"), big)
+    large = pairs.where(~F.col("small")).drop("small", "component")
+    return solved if large.isEmpty() else solved.unionByName(auction(large, big, eps, block_pairs))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import um_distance
 from ..operators import assign, spatial
+from ..schema import SCALE
 from ..sources import candidate_edges, ground_truth, points, table, tracks
 from .base import CAND, DIST, GT, PTS, TRACKS, pairs_sql, query, sql_query
 
@@ -156,31 +157,47 @@ def anchored_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(um_distance("h", "m") <= 1.5).select("dataset", "tail", "peak", "head")
 
 
-def _gated(spark: SparkSession, sf_dir: str, radius: float) -> DataFrame:
-    pairs = spatial.radius_join(points(spark, sf_dir), ground_truth(spark, sf_dir), radius)
-    return pairs.select("dataset", F.col("a_node_id").alias("a"), F.col("b_node_id").alias("b"), "d")
+def _gated(spark: SparkSession, sf_dir: str, radius: float, p: DataFrame | None = None) -> DataFrame:
+    """Points and truth of one frame within ``radius``, with a grid cell that keeps competing points together."""
+    pairs = spatial.radius_join(points(spark, sf_dir) if p is None else p, ground_truth(spark, sf_dir), radius)
+    cell = F.xxhash64("a_t", *(F.floor(F.col("a_" + c) * step / (4 * radius)) for c, step in zip("zyx", SCALE, strict=True)))
+    return pairs.select("dataset", F.col("a_node_id").alias("a"), F.col("b_node_id").alias("b"), "d", cell.alias("cell"))
 
 
-@query("JN16_optimal_assignment")
+#: Every assignment of every connected component of ``near(dataset, a, b, d)``, row by row; the one with most pairs, then least cost, stays.
+ASSIGNED = """sides AS (SELECT dataset, a, a AS r FROM near UNION SELECT s.dataset, n.a, s.r FROM sides s JOIN near m ON m.dataset = s.dataset AND m.a = s.a JOIN near n ON n.dataset = m.dataset AND n.b = m.b),
+    part AS (SELECT dataset, a, min(r) AS c FROM sides GROUP BY dataset, a), turn AS (SELECT *, row_number() OVER (PARTITION BY dataset, c ORDER BY a) AS i FROM part),
+    choice AS (SELECT t.dataset, t.c, t.i, t.a, n.b, n.d FROM turn t JOIN near n ON n.dataset = t.dataset AND n.a = t.a UNION ALL SELECT dataset, c, i, a, NULL, 0 FROM turn),
+    tried AS (SELECT dataset, c, 0::BIGINT AS i, []::STRUCT(a BIGINT, b BIGINT, d DOUBLE)[] AS got, []::BIGINT[] AS used, 0::DOUBLE AS total FROM (SELECT DISTINCT dataset, c FROM part)
+        UNION ALL SELECT k.dataset, k.c, k.i, CASE WHEN k.b IS NULL THEN got ELSE list_append(got, {'a': k.a, 'b': k.b, 'd': k.d}) END, CASE WHEN k.b IS NULL THEN used ELSE list_append(used, k.b) END, total + k.d
+        FROM tried JOIN choice k ON k.dataset = tried.dataset AND k.c = tried.c AND k.i = tried.i + 1 WHERE k.b IS NULL OR NOT list_contains(used, k.b)),
+    best AS (SELECT t.dataset, t.c, arg_min(got, [-len(got)::DOUBLE, total]) AS got FROM tried t JOIN (SELECT dataset, c, max(i) AS n FROM turn GROUP BY dataset, c) m ON m.dataset = t.dataset AND m.c = t.c AND m.n = t.i GROUP BY t.dataset, t.c),
+    assigned AS (SELECT dataset, x.a, x.b, x.d FROM best, unnest(got) AS u(x))"""
+
+
+@query("JN16_optimal_assignment", f"WITH RECURSIVE {GT}, {pairs_sql(2.0, 0, 'pts', 'gt')}, {ASSIGNED} SELECT dataset, a, b, round(d, 6) AS d FROM assigned")
 def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most matches within 2 um, then least total distance."""
-    got = assign.optimal_one_to_one(_gated(spark, sf_dir, 2.0))
+    got = assign.optimal_one_to_one(_gated(spark, sf_dir, 2.0), place="cell")
     return got.select("dataset", "a", "b", F.round("cost", 6).alias("d"))
 
 
 @query("JN17_assignment_gated_after")
 def assignment_gated_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least total distance within a wide reach, and the gate only on its result."""
-    got = assign.optimal_one_to_one(_gated(spark, sf_dir, 3.0))
+    got = assign.optimal_one_to_one(_gated(spark, sf_dir, 3.0), place="cell")
     return got.where("cost <= 1.0").select("dataset", "a", "b", F.round("cost", 6).alias("d"))
 
 
-@query("JN18_assignment_prefiltered")
+@query(
+    "JN18_assignment_prefiltered",
+    f"""WITH RECURSIVE {GT}, {pairs_sql(6.0, 0, 'pts', 'pts', 'wide')}, crowd AS (SELECT * FROM pts WHERE (dataset, node_id) IN (SELECT (dataset, a) FROM wide WHERE a <> b)), {pairs_sql(2.0, 0, 'crowd', 'gt')},
+    {ASSIGNED} SELECT dataset, a, b, round(d, 6) AS d FROM assigned""",
+)
 def assignment_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, g = points(spark, sf_dir), ground_truth(spark, sf_dir)
-    near = spatial.radius_join(spatial.distance_semi(p, p, 6.0), g, 2.0)
-    pairs = near.select("dataset", F.col("a_node_id").alias("a"), F.col("b_node_id").alias("b"), "d")
-    return assign.optimal_one_to_one(pairs).select("dataset", "a", "b", F.round("cost", 6).alias("d"))
+    p = points(spark, sf_dir)
+    got = assign.optimal_one_to_one(_gated(spark, sf_dir, 2.0, spatial.distance_semi(p, p, 6.0)), place="cell")
+    return got.select("dataset", "a", "b", F.round("cost", 6).alias("d"))
 
 
 @query(
