@@ -136,6 +136,25 @@ def test_links_of_a_large_group_are_counted(spark, monkeypatch):
     assert sum(compared) < 600 * 600 / 8
 
 
+def test_compared_pairs_follow_the_sets(spark, monkeypatch):
+    """Texts with one word replaced at a random place: their links are about a fourteenth of all pairs, the pairs compared a few for each set."""
+    compared, inner = [], ngram_join.compared
+
+    def spied(pairs, *more):
+        compared.append(pairs.count())
+        return inner(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "compared", spied)
+    rows = []
+    for i in range(3000):
+        w = [f"w{k}" for k in range(60)]
+        w[random.Random(i).randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False)
+    assert got.where("component_id <> 0").count() == 0
+    assert sum(compared) < 10 * len(rows)
+
+
 def test_no_near_copies(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(20 + i))) for i in range(40)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -8,8 +8,11 @@
    links; the rest are compared exactly by the sets of their whole texts.
 3. Buckets of more than ``TINY`` sets first compare all with a few hubs, so that a
    group of copies becomes one component by a few stars, however many buckets it shares.
+   Rounds of stars follow, with new hubs from what a group's largest component does not
+   hold, for as long as they join and the rest has many partners left.
 4. All other pairs that share a bucket are compared unless that component already
-   joins both, so the components are complete and no group emits all its pairs.
+   joins both, so the components are complete. Sets of one group that stay apart look at each
+   other's sizes and sketches, and only possible pairs leave that join.
 5. ``link_counts`` counts every link: the sets of a component meet in blocks of
    bounded size, each pair of blocks is compared exactly inside one task, and only
    a count for each set leaves it.
@@ -32,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize, shuffle_partitions
+from .common import components, materialize
 from .jaccard_kernel import Bands, signatures
 
 #: Sets of a bucket up to which its pairs are made at once.
 TINY = 4
 #: Sets of a larger bucket that all its sets are compared with first.
 HUBS = 4
+#: Hubs of a group in each later round, and partners a node up to which the rest is compared without another round.
+MORE_HUBS, PARTNERS = 8, 16
 #: Signatures that one task sorts.
 PART_SIGNATURES = 1_500_000
 #: Longs of a parity sketch.
@@ -306,20 +311,35 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     return met.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def rest_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Possible pairs a < b of ``buckets(bucket, node, k)`` that share a bucket and not a root of ``roots(node, root)``.
-
-    Buckets with the same first hub are one group, so sets that share many buckets meet
-    in one place. Every such pair holds a
-    node outside the most frequent root of its group, so only these nodes look for
-    partners, among blocks of their group.
-    """
+def grouped(buckets: DataFrame) -> DataFrame:
+    """``buckets(bucket, node)`` with those of the same first hub as one group, so sets that share many buckets meet in one place."""
     first = buckets.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(0), "node")).alias("hub"))
-    named = buckets.join(first, "bucket").select(F.xxhash64("hub").alias("bucket"), "node").distinct()
-    named = named.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    return materialize(buckets.join(first, "bucket").select(F.xxhash64("hub").alias("bucket"), "node").distinct(), "groups")
+
+
+def open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root, k, top) of the groups that hold several roots: their size and most frequent root."""
+    named = groups.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     count = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     count = count.groupBy("bucket").agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("top"))
-    mixed = materialize(named.join(count.where("roots > 1"), "bucket"), "mixed")
+    return materialize(named.join(count.where("roots > 1").drop("roots"), "bucket"), "mixed")
+
+
+def round_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs a < b of each node and hubs of its group with another root; the hubs are drawn anew from outside the most frequent root."""
+    outside = F.col("root") != F.col("top")
+    draw = lambda t: F.when(outside, F.xxhash64(F.lit(turn * MORE_HUBS + t), "node"))
+    hubs = mixed.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "root"), draw(t)) for t in range(MORE_HUBS)))).alias("hubs"))
+    met = mixed.join(hubs, "bucket").select("node", "root", F.explode("hubs").alias("hub")).where("hub.root <> root")
+    return met.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+
+
+def rest_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible pairs a < b of ``mixed`` (see ``open_groups``) that share a group and not a root.
+
+    Every such pair holds a node outside the most frequent root of its group, so only
+    these nodes look for partners, among blocks of their group.
+    """
     blocks = F.ceil(F.col("k") / 1024).cast("int")
     sided = lambda rows, side: rows.withColumnRenamed("node", side).join(_sided(sets, side), side)
     left = mixed.where("root <> top").select("bucket", "node", F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
@@ -391,11 +411,23 @@ def bucket_links(tiny: DataFrame, larger: DataFrame, sets: DataFrame, tokens_of:
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     tokens = tokens_of(ends(stars))
     links = compared(stars, tokens, similar)
+    groups, seen, before, turn = grouped(larger), stars, None, 0
+    while True:
+        roots = components(links)
+        mixed = open_groups(groups, roots)
+        work, nodes = mixed.agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("k"))), F.count(F.lit(1))).first()
+        # go on while the rest would look at many partners a node and the last round made it smaller
+        if not work or work <= PARTNERS * nodes or (before and work > before * 7 / 8):
+            break
+        before, turn = work, turn + 1
+        found = likely_pairs(round_pairs(mixed, turn), sets, num, den).join(seen, ["a", "b"], "left_anti")
+        found = materialize(found, "stars")
+        tokens = tokens.union(tokens_of(ends(found).join(tokens.select("node"), "node", "left_anti")))
+        links, seen = links.union(compared(found, tokens, similar)), seen.union(found)
     # what the stars have not joined
-    roots = components(links)
     tiny = likely_pairs(tiny, sets, num, den)
     apart = tiny.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
-    rest = apart.union(rest_pairs(larger, roots, sets, num, den)).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = apart.union(rest_pairs(mixed, sets, num, den)).distinct().join(seen, ["a", "b"], "left_anti")
     rest = materialize(rest, "likely")
     more = tokens_of(ends(rest).join(tokens.select("node"), "node", "left_anti"))
     tokens = tokens.union(more)
@@ -415,7 +447,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     named = members.where("id is not null and node is not null").groupBy("node")
     sets = materialize(named.agg(F.min("addr").alias("addr"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SKETCHES)), "sets")
     shingles = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, min(-(-shingles * 6 // (10 * PART_SIGNATURES)), max(20_000, shuffle_partitions(spark))))
+    parts = max(1, -(-shingles * 6 // (10 * PART_SIGNATURES)))
     found = _dealt(docs, k, num, den, parts).mapInArrow(_bucket_pairs(num, den), "bucket long, a long, b long")
     found = materialize(found, "candidates")
     addr = sets.select(F.col("addr").alias("a"), "node")
