@@ -129,6 +129,12 @@ def test_mix_reaches_targets(docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_item_ids_of_any_type(docs, benchmark):
+    named = benchmark.withColumn("item_id", F.concat(F.lit("q"), F.col("item_id").cast("string")))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, named).collect()}
+    assert got == {(r.doc_id, None if r.item_id is None else f"q{r.item_id}") for r in decontamination.leaks(docs, benchmark).collect()} and got
+
+
 def test_leaks(docs, none, benchmark):
     got = decontamination.leaks(docs, benchmark)
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "2", "None"]

@@ -14,7 +14,7 @@ sentence) and answer word n-grams that occur in the passage.
 The index holds the benchmark, which is broadcast in shards of bounded size: each
 shard is one pass over the documents, so its size does not limit the benchmark.
 Term statistics are sums over the benchmark's table and each shard is built in a
-task; the driver holds finished shards only.
+task; driver and executors hold one finished shard at a time.
 The documents are only mapped, without an exchange.
 
 Defined results: null or empty texts and items match nothing; items shorter than
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from .common import materialize
@@ -210,7 +211,7 @@ def _verified(index: Index, column: pa.Array, threshold: float, overlap: float):
             yield lo + row, item, *rest
 
 
-def _matches(held, threshold: float, overlap: float):
+def _matches(held, threshold: float, overlap: float, item_type: pa.DataType):
     def rows(batches):
         index: Index = held.value
         for batch in batches:
@@ -218,7 +219,7 @@ def _matches(held, threshold: float, overlap: float):
             if out:
                 ids, items, start, score, q, a = zip(*out, strict=True)
                 yield pa.record_batch(
-                    [pa.array(ids, batch.schema.field("id").type), pa.array(items, pa.int64()), pa.array(start, pa.int64()), *(pa.array(np.round(x, 6)) for x in (score, q, a))],
+                    [pa.array(ids, batch.schema.field("id").type), pa.array(items, item_type), pa.array(start, pa.int64()), *(pa.array(np.round(x, 6)) for x in (score, q, a))],
                     ["id", "item", "first_word", "score", "question_overlap", "answer_overlap"],
                 )
 
@@ -240,13 +241,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = RETRIEVE, ov
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kind = docs.schema["id"].dataType.simpleString()
     names = [id_col, item_col, "first_word", "score", "question_overlap", "answer_overlap"]
-    found = None
+    item = benchmark.schema[item_col].dataType
+    schema = f"id {kind}, item {item.simpleString()}, first_word long, score double, question_overlap double, answer_overlap double"
+    found = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, item_col, text_col):
         held = spark.sparkContext.broadcast(index)
-        part = docs.mapInArrow(_matches(held, threshold, overlap), f"id {kind}, item long, first_word long, score double, question_overlap double, answer_overlap double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], f"id {kind}, item long, first_word long, score double, question_overlap double, answer_overlap double")
+        # each shard's matches are written before the next shard's index is read, so one index is held at a time
+        found = found.union(materialize(docs.mapInArrow(_matches(held, threshold, overlap, to_arrow_type(item)), schema), "leaks"))
+        held.unpersist()
     return found.toDF(*names)
 
 
@@ -289,8 +291,9 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
     Items are numbered by a prefix sum of their words, which cuts the shards. A
     shard's index is built in a task and comes to the driver alone.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    items = materialize(items.mapInArrow(_measured, "part int, place long, id long, text string, n long"), "items")
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    items = materialize(items.mapInArrow(_measured, f"part int, place long, id {kind}, text string, n long"), "items")
     whole = items.agg(F.count(F.lit(1)).alias("total"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
     if not whole.total:
         return
@@ -311,8 +314,13 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str):
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = RETRIEVE, overlap: float = OVERLAP, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
+    held = None
     for index in _indexes(benchmark, item_col, text_col):
-        docs = docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)(F.col(text_col)))
+        if held is not None:  # written before the next shard, so one index is held at a time
+            docs = materialize(docs, "clean")
+            held.unpersist()
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(~_holds(held, threshold, overlap)(F.col(text_col)))
     return docs
 
 
