@@ -18,7 +18,7 @@ NAMES = [
     "AG01_edge_confusion", "AG05_error_decomposition", "AG09_grouping_sets", "AG12_percentiles", "AG25_average_precision", "AG26_roc_auc", "AG30_subsample_sensitivity", "AG06_missing_edge_categories", "AG07_sample_metrics", "AG24_best_of_each_parent", "AG28_leave_one_out_fits", "GR09_weak_edge_filter", "GR22_full_context", "SM08_overlapping_chunks", "AG27_swap_threshold", "AG35_residuals_before_after", "VA01_validation_report", "UD15_parent_labels",
     "WN01_line_fit_smoothing", "WN06_neighbour_flow", "WN14_best_so_far", "ST05_group_quota", "SO02_symmetric_difference", "SO06_link_gain_and_loss",
     "PRJ04_clean_probability", "PRJ17_low_margin_blend", "PRJ26_strip_comments", "F08_bytes_little_endian", "F19_array_argmax_unravel",
-    "SRC06_csv_exact_header", "SNK01_unified_table", "SNK04_nan_to_null_json", "SNK09_upsert", "VA05_bounds", "SM01_tumbling_window", "SM02_change_events", "SM04_deduplicated_submissions", "SM05_evictions", "SM06_carried_flow", "SM07_look_ahead", "JN16_optimal_assignment", "JN18_assignment_prefiltered", "GR25_guarded_readmission", "GR26_complementary_candidates",
+    "SRC06_csv_exact_header", "SNK01_unified_table", "SNK04_nan_to_null_json", "SNK09_upsert", "VA05_bounds", "SM01_tumbling_window", "SM02_change_events", "SM04_deduplicated_submissions", "SM05_evictions", "SM06_carried_flow", "SM07_look_ahead", "JN16_optimal_assignment", "JN18_assignment_prefiltered", "GR25_guarded_readmission", "GR26_complementary_candidates", "GR17_division_features", "GR14_divergence_horizon", "JN26_reparented_forks",
 ]
 
 
