@@ -113,13 +113,19 @@ def gram_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is several times faster than the hash table behind ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_set(hashed: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct k-word shingles of one row's word hashes; fewer words make one shingle."""
     if len(hashed) == 0:
         return hashed
     if len(hashed) < k:
         return mix(gram_hashes(hashed, len(hashed)) + U64(len(hashed)))
-    return np.unique(gram_hashes(hashed, k))
+    return distinct(gram_hashes(hashed, k))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -106,24 +106,24 @@ def _meetings(batches):
 LANES = 256
 
 
-def _sets(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct (56 bits of a shingle, number of its line in 8 bits) of at most LANES lines."""
-    shingles, line = L.char_shingles(data, starts, ends, k)
-    return np.unique((shingles & ~K.U64(LANES - 1)) | line.astype(K.U64))
+def _lanes(shingles: np.ndarray, line: np.ndarray, n: int):
+    """(first line, end line, values) of runs of LANES of ``n`` lines: sorted distinct (56 bits of a shingle, place of its line in 8 bits)."""
+    cut = np.searchsorted(line, np.arange(0, n + LANES, LANES))
+    for i, lo in enumerate(range(0, n, LANES)):
+        here = slice(cut[i], cut[i + 1])
+        yield lo, min(lo + LANES, n), K.distinct((shingles[here] & ~K.U64(LANES - 1)) | (line[here] - lo).astype(K.U64))
 
 
 def _sketched(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Set size of each line, and its parity sketch (see ``ngram_join.sketch``)."""
     n, bits = np.zeros(len(starts), np.int64), np.zeros((SKETCH, len(starts)), np.int64)
     width = 64 * SKETCH
-    for lo in range(0, len(starts), LANES):
-        held = _sets(starts[lo : lo + LANES], ends[lo : lo + LANES], data, k)
-        lines = min(LANES, len(starts) - lo)
+    for lo, hi, held in _lanes(*L.char_shingles(data, starts, ends, k), len(starts)):
         line = (held & K.U64(LANES - 1)).astype(np.int64)
-        n[lo : lo + lines] = np.bincount(line, minlength=lines)
+        n[lo:hi] = np.bincount(line, minlength=hi - lo)
         bit = ((K.mix(held >> K.U64(8)) >> K.U64(33)) % K.U64(width)).astype(np.int64)
-        odd = (np.bincount(line * width + bit, minlength=lines * width) & 1).astype(np.uint8).reshape(lines, width)
-        bits[:, lo : lo + lines] = np.packbits(odd, axis=1).view(np.int64).T
+        odd = (np.bincount(line * width + bit, minlength=(hi - lo) * width) & 1).astype(np.uint8).reshape(hi - lo, width)
+        bits[:, lo:hi] = np.packbits(odd, axis=1).view(np.int64).T
     return n, bits
 
 
@@ -156,20 +156,23 @@ def _lines_of(needed, k: int):
 def _similar(k: int, num: int, den: int):
     """The rows (a, b, ta, tb) whose lines ta and tb are similar, as (a, b)."""
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def sets(column: pa.Array):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        held = _sets(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], data, k)
-        return held, np.bincount((held & K.U64(LANES - 1)).astype(np.int64), minlength=len(column))
+        yield from _lanes(*L.char_shingles(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0], k), len(column))
 
     def rows(batches):
+        lanes = lambda x, n: np.bincount((x & K.U64(LANES - 1)).astype(np.int64), minlength=n)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for lo in range(0, batch.num_rows, LANES):
-                (x, nx), (y, ny) = (sets(batch.column(c).slice(lo, LANES)) for c in ("ta", "tb"))
-                both = np.bincount((np.intersect1d(x, y, assume_unique=True) & K.U64(LANES - 1)).astype(np.int64), minlength=len(nx))
-                keep[lo : lo + LANES] = den * both >= num * (nx + ny - both)
+            # so many lines at once that their shingles stay within a few MB
+            for at in range(0, batch.num_rows, 8 * LANES):
+                sides = (sets(batch.column(c).slice(at, 8 * LANES)) for c in ("ta", "tb"))
+                for (lo, hi, x), (_, _, y) in zip(*sides, strict=True):
+                    held = np.sort(np.concatenate((x, y)))
+                    both = lanes(held[1:][held[1:] == held[:-1]], hi - lo)
+                    keep[at + lo : at + hi] = (den + num) * both >= num * (lanes(x, hi - lo) + lanes(y, hi - lo))
             yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return rows

@@ -37,7 +37,6 @@ def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of lines and the line of each; a shorter line is one shingle."""
-    n = len(data)
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     code = data[heads].astype(U64)
     padded = np.concatenate((data, np.zeros(3, np.uint8)))
@@ -48,14 +47,22 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int
             break
         code = np.where(more, (code << U64(8)) | padded[heads + j], code)
     a, b = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-    power, back = _steps(len(heads) + 1)
-    total = np.concatenate((np.zeros(1, U64), np.cumsum((code + U64(1)) * power[: len(heads)], dtype=U64)))
+    n = len(heads)
+    power, back = _steps(n + 1)
+    total = np.empty(n + 1, U64)
+    total[0] = 0
+    np.cumsum((code + U64(1)) * power[:n], out=total[1:])
+    # a hash for each place, then those of places where a shingle of some line begins
+    every = np.zeros(n, U64)
+    if n >= k:
+        every[: n - k + 1] = mix((total[k:] - total[:-k]) * back[: n - k + 1] + U64(k))
     size = b - a
+    short = np.flatnonzero((size > 0) & (size < k))
+    every[a[short]] = mix((total[b[short]] - total[a[short]]) * back[a[short]] + size[short].astype(U64))
     count = np.where(size >= k, size - k + 1, (size > 0).astype(np.int64))
     line = np.repeat(np.arange(len(starts)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + a[line]
-    stop = np.minimum(at + k, b[line])
-    return mix((total[stop] - total[at]) * back[at] + (stop - at).astype(U64)), line
+    at = np.arange(count.sum()) + np.repeat(a - np.cumsum(count) + count, count)
+    return every[at], line
 
 
 _HELD: list[np.ndarray] = []

@@ -134,7 +134,7 @@ def popular_shingles(texts: DataFrame, k: int) -> np.ndarray:
 def hot_signatures(texts: DataFrame, k: int, num: int, den: int, popular: np.ndarray) -> np.ndarray:
     """Sorted signatures that HOT_AT or more of ``texts`` have."""
     bands = Bands(num, den)
-    return _most_frequent(texts, lambda column: (np.unique(signatures(tokens, bands, popular)) for _, tokens in _sets(column, k)), HOT_AT, HOT_MOST)
+    return _most_frequent(texts, lambda column: (K.distinct(signatures(tokens, bands, popular)) for _, tokens in _sets(column, k)), HOT_AT, HOT_MOST)
 
 
 #: Signatures and sets that a task packs together; set numbers in a pack have 16 bits.
@@ -232,7 +232,10 @@ def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den
         left, right = places[:, i].ravel(), places[:, j].ravel()
         fits = np.minimum(n[left], n[right]) * den >= num * np.maximum(n[left], n[right])
         found.append(np.stack((node[left[fits]], node[right[fits]]), 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    if len(pairs):
+        pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))]
     for lo in range(0, len(pairs), 100_000):
         some = pairs[lo : lo + 100_000]
         yield pa.record_batch([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], ["bucket", "a", "b"])
