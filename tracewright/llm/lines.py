@@ -103,7 +103,16 @@ def band_hashes(shingles: np.ndarray, line: np.ndarray, n: int, rows: int, bands
     table = table.reshape(n, BINS)
     full = table != empty
     held = full.sum(1)
-    for size in np.unique(held[(held > 0) & (held < BINS)]).tolist():
+    # lines with few empty bins: each of these goes along its order, a step for all at once
+    row, bin_ = np.nonzero(~full & (held >= BINS // 4)[:, None])
+    step = 1
+    while len(row):
+        donor = _ORDER[bin_, step]
+        got = full[row, donor]
+        table[row[got], bin_[got]] = table[row[got], donor[got]]
+        row, bin_, step = row[~got], bin_[~got], step + 1
+    # the others: the least rank among the full bins
+    for size in np.unique(held[(held > 0) & (held < BINS // 4)]).tolist():
         same = np.flatnonzero(held == size)
         for lo in range(0, len(same), 1024):
             some = same[lo : lo + 1024]
