@@ -155,6 +155,43 @@ def test_compared_pairs_follow_the_sets(spark, monkeypatch):
     assert sum(compared) < 10 * len(rows)
 
 
+def test_members_of_large_buckets_are_given_once():
+    """Buckets of the same near copies: all pairs that share one meet in a group, the rows follow the nodes, not the buckets."""
+    r = np.random.default_rng(3)
+    node, shared = r.integers(-(2**62), 2**62, 50), set()
+    own, sig = [], []
+    for s in range(2000):
+        held = np.flatnonzero(r.random(50) < 0.9)
+        own += held.tolist()
+        sig += [s] * len(held)
+        shared.update(itertools.combinations(sorted(node[held].tolist()), 2))
+    at = {}
+    rows = 0
+    for batch in ngram_join.pair_buckets(node[own], np.ones(len(own), np.int64), np.array(sig, np.uint64), 1, 1):
+        rows += batch.num_rows
+        for bucket, a in zip(batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), strict=True):
+            at.setdefault(bucket, set()).add(a)
+    met = {x for held in at.values() for x in itertools.combinations(sorted(held), 2)}
+    assert shared <= met
+    assert rows < 20 * 50  # before: about 90,000
+
+
+def test_pairs_of_several_groups_are_looked_at_once(spark):
+    """Every pair with different roots that shares a group, once, however many groups it shares."""
+    r = random.Random(8)
+    roots = {n: r.choice([0, 0, 0, 1, 2, n]) for n in range(40)}
+    held = {g: sorted(r.sample(range(40), 25)) for g in range(6)}
+    want, rows = set(), []
+    for g, nodes in held.items():
+        want.update((a, b) for a, b in itertools.combinations(nodes, 2) if roots[a] != roots[b])
+        count = [sum(roots[x] == root for x in nodes) for root in range(40)]
+        rows += [(g, x, roots[x], len(nodes), count.index(max(count))) for x in nodes]
+    mixed = spark.createDataFrame(rows, "bucket long, node long, root long, k long, top long")
+    sets = spark.createDataFrame([(n, 5, 0) for n in range(40)], "node long, n long, s0 long")
+    got = [tuple(x) for x in ngram_join.rest_pairs(mixed, sets, 75, 100).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_no_near_copies(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(20 + i))) for i in range(40)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -27,6 +27,7 @@ hashes, and sets are one class where 128 bits over all their shingles agree.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ HUBS = 4
 MORE_HUBS, PARTNERS = 8, 16
 #: Signatures that one task sorts.
 PART_SIGNATURES = 1_500_000
+#: Members of larger buckets that a task looks at together.
+MEMBERS = 1_000_000
 #: Longs of a parity sketch.
 SKETCH = 8
 #: Documents in the sample that names popular shingles, how many of them make
@@ -67,8 +70,8 @@ def set_key(tokens: np.ndarray) -> bytes:
 
 
 def address(key: bytes) -> int:
-    """The long by which sets are named where signatures meet."""
-    return int.from_bytes(key[:8], "little", signed=True)
+    """The long by which sets are named where signatures meet; longs are in the order of the keys."""
+    return int.from_bytes(key[:8], "big") - (1 << 63)
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,7 +84,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens that hash to each of 64 * SKETCH bits."""
+    """Parity of the number of tokens that hash to each of 64 * SKETCH bits, of which more tell larger sets apart."""
     bits = np.bincount((K.mix(tokens + K.U64(0xC2B2AE35)) >> K.U64(33)) % K.U64(64 * SKETCH), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -205,6 +208,7 @@ def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den
     """Batches (bucket, a, b): null, a, b are pairs of tiny buckets; bucket, a, null members of larger ones.
 
     Pairs whose sizes ``n`` are too far apart for a similarity of num/den are left out.
+    Larger buckets with the same least node are given out as one (see ``grouped``), each member once.
     """
     if len(sig) == 0:
         return
@@ -240,12 +244,21 @@ def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den
         some = pairs[lo : lo + 100_000]
         yield pa.record_batch([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], ["bucket", "a", "b"])
     large = size > TINY
-    at, size, name = at[large], size[large], K.signed(content[large])
-    for lo in range(0, len(at), 10_000):
-        some = size[lo : lo + 10_000]
-        place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(at[lo : lo + 10_000], some)
-        members = pa.array(node[place])
-        yield pa.record_batch([pa.array(np.repeat(name[lo : lo + 10_000], some)), members, pa.nulls(len(place), pa.int64())], ["bucket", "a", "b"])
+    at, size = at[large], size[large]
+    order = np.argsort(node[at], kind="stable")
+    at, size = at[order], size[order]
+    total = np.cumsum(size)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + MEMBERS, "right")))
+        some = size[lo:hi]
+        place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(at[lo:hi], some)
+        hub, member = np.repeat(node[at[lo:hi]], some), node[place]
+        order = np.lexsort((member, hub))
+        hub, member = hub[order], member[order]
+        once = np.concatenate(([True], (hub[1:] != hub[:-1]) | (member[1:] != member[:-1])))
+        yield from _members(member[once], K.mix(hub[once].view(K.U64)))
+        lo = hi
 
 
 def _members(node: np.ndarray, sig: np.ndarray):
@@ -285,39 +298,42 @@ def _bucket_pairs(num: int, den: int):
     return rows
 
 
-def _possible(num: int, den: int) -> F.Column:
-    """Whether sizes na, nb and sketches a0 ..., b0 ... leave a pair the chance to be similar."""
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+def _sketched(sets: DataFrame) -> list[str]:
+    return [c for c in sets.columns if re.fullmatch(r"s\d+", c)]
+
+
+def _possible(longs: int, num: int, den: int) -> F.Column:
+    """Whether sizes na, nb and sketches a0 ..., b0 ... of so many longs leave a pair the chance to be similar."""
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(longs)), F.lit(0))
     sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
 
 
 def _sided(sets: DataFrame, side: str) -> DataFrame:
-    return sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(SKETCHES)))
+    return sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(_sketched(sets))))
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sizes and sketches in ``sets(node, n, s0 ...)`` leave them the chance to be similar."""
     both = pairs.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
-    return both.where(_possible(num, den)).select("a", "b")
+    return both.where(_possible(len(_sketched(sets)), num, den)).select("a", "b")
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of each node of ``buckets(bucket, node)`` and the hubs of its bucket.
+def grouped(buckets: DataFrame) -> DataFrame:
+    """``buckets(bucket, node)`` with those of the same least node as one group, so sets that share many buckets meet in one place.
 
-    A hub is the node of least hash, so buckets with about the same members have the same hubs.
+    Nodes are hashes, so their order is random, and buckets with about the same members have the same least node.
     """
-    hubs = buckets.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64(F.lit(t), "node")).alias(f"h{t}") for t in range(HUBS)))
-    # a node meets the same hubs in most of its buckets: once is enough
-    met = buckets.join(hubs, "bucket").select("node", F.array_distinct(F.array(*(f"h{t}" for t in range(HUBS)))).alias("hubs")).distinct()
-    met = met.select("node", F.explode("hubs").alias("hub"))
-    return met.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("hub"))
+    return materialize(buckets.join(least, "bucket").select(F.xxhash64("hub").alias("bucket"), "node").distinct(), "groups")
 
 
-def grouped(buckets: DataFrame) -> DataFrame:
-    """``buckets(bucket, node)`` with those of the same first hub as one group, so sets that share many buckets meet in one place."""
-    first = buckets.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(0), "node")).alias("hub"))
-    return materialize(buckets.join(first, "bucket").select(F.xxhash64("hub").alias("bucket"), "node").distinct(), "groups")
+def hub_pairs(groups: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of each node of ``groups(bucket, node)`` and the hubs of its group: its least node, which shares a bucket with each, and others."""
+    others = (F.min_by("node", F.xxhash64(F.lit(t), "node")) for t in range(1, HUBS))
+    hubs = groups.groupBy("bucket").agg(F.array_distinct(F.array(F.min("node"), *others)).alias("hubs"))
+    met = groups.join(hubs, "bucket").select("node", F.explode("hubs").alias("hub"))
+    return met.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
 def open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -341,14 +357,19 @@ def rest_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     """Possible pairs a < b of ``mixed`` (see ``open_groups``) that share a group and not a root.
 
     Every such pair holds a node outside the most frequent root of its group, so only
-    these nodes look for partners, among blocks of their group.
+    these nodes look for partners, among blocks of their group. A pair that shares
+    several groups is looked at in the first of them, and once where both look.
     """
     blocks = F.ceil(F.col("k") / 1024).cast("int")
     sided = lambda rows, side: rows.withColumnRenamed("node", side).join(_sided(sets, side), side)
-    left = mixed.where("root <> top").select("bucket", "node", F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    right = mixed.select("bucket", "node", F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    both = sided(left, "a").join(sided(right, "b"), ["bucket", "block"]).where((F.col("ra") != F.col("rb")) & _possible(num, den))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = mixed.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # no more than a set's signatures
+    named = mixed.join(own, "node")
+    left = named.where("root <> top").select("bucket", "node", F.col("root").alias("ra"), F.col("own").alias("ga"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    right = named.select("bucket", "node", F.col("root").alias("rb"), F.col("own").alias("gb"), (F.col("root") != F.col("top")).alias("looks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    once = (~F.col("looks") | (F.col("a") < F.col("b"))) & (F.array_min(F.array_intersect("ga", "gb")) == F.col("bucket"))
+    possible = _possible(len(_sketched(sets)), num, den)
+    both = sided(left, "a").join(sided(right, "b"), ["bucket", "block"]).where((F.col("ra") != F.col("rb")) & possible & once)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def node_tokens(docs: DataFrame, members: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -407,14 +428,15 @@ def compared(pairs: DataFrame, tokens: DataFrame, similar) -> DataFrame:
 def bucket_links(tiny: DataFrame, larger: DataFrame, sets: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], num: int, den: int, similar) -> tuple[DataFrame, DataFrame]:
     """(links, tokens): verified ``links(a, b)`` that join all similar sets that share a bucket.
 
-    ``tiny(a, b)`` are the pairs of small buckets, ``larger(bucket, node, k)`` the
+    ``tiny(a, b)`` are the pairs of small buckets, ``larger(bucket, node)`` the
     members of the others; ``tokens_of(nodes)`` gives ``(node, tokens)`` of ``nodes(node)`` as the kernel ``similar`` takes them.
     """
-    stars = materialize(likely_pairs(hub_pairs(larger), sets, num, den), "stars")
+    groups = grouped(larger)
+    stars = materialize(likely_pairs(hub_pairs(groups), sets, num, den), "stars")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     tokens = tokens_of(ends(stars))
     links = compared(stars, tokens, similar)
-    groups, seen, before, turn = grouped(larger), stars, None, 0
+    before, turn = None, 0
     while True:
         roots = components(links)
         mixed = open_groups(groups, roots)
@@ -423,15 +445,13 @@ def bucket_links(tiny: DataFrame, larger: DataFrame, sets: DataFrame, tokens_of:
         if not work or work <= PARTNERS * nodes or (before and work > before * 7 / 8):
             break
         before, turn = work, turn + 1
-        found = likely_pairs(round_pairs(mixed, turn), sets, num, den).join(seen, ["a", "b"], "left_anti")
-        found = materialize(found, "stars")
+        found = materialize(likely_pairs(round_pairs(mixed, turn), sets, num, den), "stars")
         tokens = tokens.union(tokens_of(ends(found).join(tokens.select("node"), "node", "left_anti")))
-        links, seen = links.union(compared(found, tokens, similar)), seen.union(found)
+        links = links.union(compared(found, tokens, similar))
     # what the stars have not joined
     tiny = likely_pairs(tiny, sets, num, den)
     apart = tiny.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
-    rest = apart.union(rest_pairs(mixed, sets, num, den)).distinct().join(seen, ["a", "b"], "left_anti")
-    rest = materialize(rest, "likely")
+    rest = materialize(apart.union(rest_pairs(mixed, sets, num, den)).distinct(), "likely")
     more = tokens_of(ends(rest).join(tokens.select("node"), "node", "left_anti"))
     tokens = tokens.union(more)
     return links.union(compared(rest, tokens, similar)), tokens
@@ -455,8 +475,6 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     found = materialize(found, "candidates")
     addr = sets.select(F.col("addr").alias("a"), "node")
     larger = materialize(found.where("bucket is not null").select("bucket", "a").distinct().join(addr, "a").select("bucket", "node"), "buckets")
-    size = larger.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-    larger = larger.join(size.where("k > 1"), "bucket")
     tiny = found.where("bucket is null").select("a", "b").distinct().join(addr.toDF("a", "x"), "a").join(addr.toDF("b", "y"), "b")
     tiny = tiny.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     links, tokens = bucket_links(tiny, larger, sets, lambda nodes: node_tokens(docs, members, nodes, k), num, den, similar_sets(num, den))
