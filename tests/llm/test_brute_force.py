@@ -192,6 +192,24 @@ def test_pairs_of_several_groups_are_looked_at_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sketches_rule_out_long_lines(spark):
+    """Lines of about 450 shingles with a similarity of about 0.69 are told apart before their texts meet; similar ones stay."""
+    r = random.Random(6)
+    base = "".join(chr(r.randrange(97, 123)) for _ in range(455))
+    texts = [base]
+    for cut in [83] * 40 + [20] * 5:
+        at = r.randrange(455 - cut)
+        texts.append(base[:at] + "".join(chr(r.randrange(97, 123)) for _ in range(cut)) + base[at + cut :])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.arange(len(texts)) * 455
+    n, bits = line_dedup._sketched(starts, starts + 455, data, 6)
+    names = [f"s{i}" for i in range(len(bits))]
+    sets = spark.createDataFrame([(i, int(n[i]), *bits[:, i].tolist()) for i in range(len(texts))], "node long, n long, " + ", ".join(f"{x} long" for x in names))
+    pairs = spark.createDataFrame([(0, i) for i in range(1, len(texts))], "a long, b long")
+    left = {x.b for x in ngram_join.likely_pairs(pairs, sets, 75, 100).collect()}
+    assert set(range(41, 46)) <= left and len(left) <= 5 + 10
+
+
 def test_no_near_copies(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(20 + i))) for i in range(40)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
