@@ -210,6 +210,16 @@ def test_sketches_rule_out_long_lines(spark):
     assert set(range(41, 46)) <= left and len(left) <= 5 + 10
 
 
+def test_sketches_rule_out_large_sets(spark):
+    """Texts of 4,000 other words are told apart before their sets meet; those with 300 words replaced stay."""
+    base = [f"w{i}" for i in range(4000)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:1000] + [f"x{i}" for i in range(300)] + base[1300:]))]
+    rows += [(i, " ".join(f"d{i}w{k}" for k in range(4000))) for i in range(2, 12)]
+    sets = ngram_join.shingle_sizes(spark.createDataFrame(rows, "id long, text string"), 5).drop("node").withColumnRenamed("id", "node")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 12)], "a long, b long")
+    assert [x.b for x in ngram_join.likely_pairs(pairs, sets, 75, 100).collect()] == [1]
+
+
 def test_no_near_copies(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(20 + i))) for i in range(40)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()

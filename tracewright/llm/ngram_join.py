@@ -49,8 +49,8 @@ MORE_HUBS, PARTNERS = 8, 16
 PART_SIGNATURES = 1_500_000
 #: Members of larger buckets that a task looks at together.
 MEMBERS = 1_000_000
-#: Longs of a parity sketch.
-SKETCH = 8
+#: Longs of a parity sketch, and of the wide one that sets from a size on have: 1,024 bits let any two sets of 3,600 pass.
+SKETCH, WIDE, WIDE_FROM = 16, 64, 900
 #: Documents in the sample that names popular shingles, how many of them make
 #: one popular, and how many are named at most. They steer cost, not results.
 SAMPLE_DOCS, POPULAR_AT, POPULAR_MOST = 20_000, 4, 65_536
@@ -83,9 +83,9 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, K.shingle_set(hashed[first[i] : first[i + 1]], k)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens that hash to each of 64 * SKETCH bits, of which more tell larger sets apart."""
-    bits = np.bincount((K.mix(tokens + K.U64(0xC2B2AE35)) >> K.U64(33)) % K.U64(64 * SKETCH), minlength=64 * SKETCH) & 1
+def sketch(tokens: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Parity of the number of tokens that hash to each of 64 * ``longs`` bits, of which more tell larger sets apart."""
+    bits = np.bincount((K.mix(tokens + K.U64(0xC2B2AE35)) >> K.U64(33)) % K.U64(64 * longs), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -93,20 +93,22 @@ SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def shingle_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, node, addr, s0 ...) of ``docs(id, text)``: set size, key of the set (null if empty), its address and sketch."""
+    """(id, n, node, addr, s0 ..., wide) of ``docs(id, text)``: set size, key of the set (null if empty), its address and sketches."""
 
     def rows(batches):
         for batch in batches:
             n, key, bits = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, np.zeros((SKETCH, batch.num_rows), np.int64)
+            wide = [None] * batch.num_rows
             for i, tokens in _sets(batch.column("text"), k):
                 n[i] = len(tokens)
                 key[i] = set_key(tokens) if len(tokens) else None
                 bits[:, i] = sketch(tokens)
+                wide[i] = sketch(tokens, WIDE) if len(tokens) >= WIDE_FROM else None
             addr = pa.array([None if x is None else address(x) for x in key], pa.int64())
-            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(key, pa.binary()), addr, *(pa.array(x) for x in bits)], ["id", "n", "node", "addr", *SKETCHES])
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(key, pa.binary()), addr, *(pa.array(x) for x in bits), pa.array(wide, pa.list_(pa.int64()))], ["id", "n", "node", "addr", *SKETCHES, "wide"])
 
     longs = ", ".join(f"{x} long" for x in SKETCHES)
-    return docs.mapInArrow(rows, f"id {docs.schema['id'].dataType.simpleString()}, n long, node binary, addr long, {longs}")
+    return docs.mapInArrow(rows, f"id {docs.schema['id'].dataType.simpleString()}, n long, node binary, addr long, {longs}, wide array<long>")
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
@@ -302,21 +304,26 @@ def _sketched(sets: DataFrame) -> list[str]:
     return [c for c in sets.columns if re.fullmatch(r"s\d+", c)]
 
 
-def _possible(longs: int, num: int, den: int) -> F.Column:
-    """Whether sizes na, nb and sketches a0 ..., b0 ... of so many longs leave a pair the chance to be similar."""
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(longs)), F.lit(0))
-    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    return sizes & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+def _possible(sets: DataFrame, num: int, den: int) -> F.Column:
+    """Whether sizes na, nb and sketches a0 ..., b0 ... (and wa, wb of large sets) leave a pair the chance to be similar."""
+    fits = lambda apart: apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(len(_sketched(sets)))), F.lit(0))
+    likely = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & fits(apart)
+    if "wide" not in sets.columns:
+        return likely
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return likely & (F.col("wa").isNull() | F.col("wb").isNull() | fits(apart))
 
 
 def _sided(sets: DataFrame, side: str) -> DataFrame:
-    return sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(_sketched(sets))))
+    wide = [F.col("wide").alias(f"w{side}")] if "wide" in sets.columns else []
+    return sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(_sketched(sets))), *wide)
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sizes and sketches in ``sets(node, n, s0 ...)`` leave them the chance to be similar."""
     both = pairs.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
-    return both.where(_possible(len(_sketched(sets)), num, den)).select("a", "b")
+    return both.where(_possible(sets, num, den)).select("a", "b")
 
 
 def grouped(buckets: DataFrame) -> DataFrame:
@@ -367,7 +374,7 @@ def rest_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     left = named.where("root <> top").select("bucket", "node", F.col("root").alias("ra"), F.col("own").alias("ga"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     right = named.select("bucket", "node", F.col("root").alias("rb"), F.col("own").alias("gb"), (F.col("root") != F.col("top")).alias("looks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     once = (~F.col("looks") | (F.col("a") < F.col("b"))) & (F.array_min(F.array_intersect("ga", "gb")) == F.col("bucket"))
-    possible = _possible(len(_sketched(sets)), num, den)
+    possible = _possible(sets, num, den)
     both = sided(left, "a").join(sided(right, "b"), ["bucket", "block"]).where((F.col("ra") != F.col("rb")) & possible & once)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -468,7 +475,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     members = materialize(shingle_sizes(docs, k), "members")
     docs = docs.where("id is not null and text is not null")
     named = members.where("id is not null and node is not null").groupBy("node")
-    sets = materialize(named.agg(F.min("addr").alias("addr"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SKETCHES)), "sets")
+    sets = materialize(named.agg(F.min("addr").alias("addr"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in (*SKETCHES, "wide"))), "sets")
     shingles = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-shingles * 6 // (10 * PART_SIGNATURES)))
     found = _dealt(docs, k, num, den, parts).mapInArrow(_bucket_pairs(num, den), "bucket long, a long, b long")
