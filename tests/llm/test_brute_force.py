@@ -372,6 +372,43 @@ def test_similar_lines_share_a_band(size, both):
     assert (x == y).any(1).mean() >= 1 - (1 - similar**5) ** 20 - 0.01
 
 
+def test_lines_without_outer_whitespace_and_their_shingles():
+    """Runs of whitespace of any length go, and equal characters make equal shingles whatever surrounds them."""
+    r = random.Random(5)
+    pick = lambda: "".join(r.choice("abc é漢😀\t  ") for _ in range(r.randrange(40)))
+    texts = ["\n".join(" " * r.choice((0, 0, 3, 30)) + pick() + "\t" * r.choice((0, 0, 9, 50)) for _ in range(r.randrange(1, 9))) for _ in range(300)]
+    texts += ["", " " * 40, "abcabcabc", "a", "a\nb\nab\n"]
+    name = {}
+    for batch in (texts, [x for t in texts for x in t.split("\n")], ["abcabc", "abc", "a"]):
+        data = np.frombuffer("".join(batch).encode(), np.uint8)
+        offsets = np.cumsum([0, *(len(x.encode()) for x in batch)])
+        starts, ends, first = lines.lines(data, offsets)
+        want = [x.strip("\t\n\x0b\x0c\r ") for t in batch for x in t.split("\n")]
+        assert [data.tobytes()[a:b].decode() for a, b in zip(starts, ends, strict=True)] == want
+        assert np.diff(first).tolist() == [t.count("\n") + 1 for t in batch]
+        for order in (np.arange(len(want)), np.random.default_rng(1).permutation(len(want))):
+            got, line = lines.char_shingles(data, starts[order], ends[order], 6)
+            grams = [(i, x[j : j + 6]) for i, x in enumerate(want[o] for o in order) if x for j in range(max(1, len(x) - 5))]
+            assert [i for i, _ in grams] == line.tolist()
+            assert all(name.setdefault(g, h) == h for (_, g), h in zip(grams, got.tolist(), strict=True))
+    assert len(set(name.values())) == len(name)
+
+
+def test_similar_lines_are_looked_at_once(spark, monkeypatch):
+    """A pair of lines that shares several bands is one candidate, and groups are joined by bucket once less."""
+    r = random.Random(3)
+    base = [" ".join(f"{r.randrange(10**6):x}" for _ in range(12)) for _ in range(60)]
+    rows = [(i, x + y) for i, x in enumerate(base) for y in ("", " and a tail")] + [(99, f"{base[0]} {k}") for k in range(30)]
+    seen = []
+    likely = ngram_join.likely_pairs
+    monkeypatch.setattr(ngram_join, "likely_pairs", lambda pairs, *more: seen.append(pairs.collect()) or likely(pairs, *more))
+    monkeypatch.setattr(ngram_join, "grouped", None)
+    links = line_dedup.line_links(spark.createDataFrame(rows, "id long, text string"), len(rows)).collect()
+    assert len(seen[-1]) >= 59 and all(len(x) == len(set(x)) for x in seen)
+    root = groups({x for p in links for x in p}, [tuple(p) for p in links])
+    assert len(set(root.values())) == 60 and len(root) == 150
+
+
 def test_flac_round_trip():
     r = np.random.default_rng(0)
     x = np.concatenate((r.integers(-128, 128, (9, 192)), np.cumsum(r.integers(-2, 3, (9, 192)), 1) % 100, np.full((3, 192), -7))).astype(np.int8)

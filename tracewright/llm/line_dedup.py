@@ -39,8 +39,12 @@ SKETCHES = [f"s{i}" for i in range(SKETCH)]
 BROADCAST_KEYS = 1_000_000
 
 
+#: Bytes of text looked at together: arrays of eight bytes for each stay in a core's cache.
+CHUNK = 1 << 17
+
+
 def _each(column: pa.Array):
-    for lo, hi, data, offsets in K.chunks(column):
+    for lo, hi, data, offsets in K.chunks(column, CHUNK):
         starts, ends, first = L.lines(data, offsets)
         yield lo, hi, data, starts, ends, first, L.line_keys(data, starts, ends)
 
@@ -63,7 +67,7 @@ def _bands(k: int, rows_: int, bands: int, parts: int):
     def packed(keys, sigs):
         key, sig = np.repeat(np.concatenate(keys), bands), np.concatenate(sigs).ravel()
         to = (((sig >> K.U64(40)) * K.U64(parts)) >> K.U64(24)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
+        order = np.argsort(to.astype(np.uint16) if parts <= 1 << 16 else to, kind="stable")
         key, sig, to = key[order], sig[order], to[order]
         at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         ends = np.append(at[1:], len(to))
@@ -79,7 +83,8 @@ def _bands(k: int, rows_: int, bands: int, parts: int):
                 new = np.fromiter((x not in seen for x in once.tolist()), bool, len(once)) & (once != 0)
                 if not new.any():
                     continue
-                once, at = once[new], at[new]
+                at = np.sort(at[new])
+                once = key[at]
                 seen.update(once.tolist())
                 shingles, line = L.char_shingles(data, starts[at], ends[at], k)
                 keys.append(once)
@@ -124,9 +129,10 @@ def _sketched(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int) ->
     for lo, hi, held in _lanes(*L.char_shingles(data, starts, ends, k), len(starts)):
         line = (held & K.U64(LANES - 1)).astype(np.int64)
         n[lo:hi] = np.bincount(line, minlength=hi - lo)
-        bit = ((K.mix(held >> K.U64(8)) >> K.U64(33)) % K.U64(width)).astype(np.int64)
-        odd = (np.bincount(line * width + bit, minlength=(hi - lo) * width) & 1).astype(np.uint8).reshape(hi - lo, width)
-        bits[:, lo:hi] = np.packbits(odd, axis=1).view(np.int64).T
+        bit = ((held >> K.U64(8)) * K.U64(0xD6E8FEB86659FD93) >> K.U64(65 - width.bit_length())).view(np.int64)
+        odd = np.zeros((hi - lo) * width, np.uint8)  # parities stay where a count wraps
+        np.add.at(odd, line * width + bit, np.uint8(1))
+        bits[:, lo:hi] = np.packbits((odd & 1).reshape(hi - lo, width), axis=1).view(np.int64).T
     return n, bits
 
 
@@ -146,7 +152,8 @@ def _lines_of(needed, k: int):
                 use &= np.fromiter((x not in seen for x in once.tolist()), bool, len(once))
                 if not use.any():
                     continue
-                once, at = once[use], at[use]
+                at = np.sort(at[use])
+                once = key[at]
                 seen.update(once.tolist())
                 raw = data.tobytes()
                 text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
@@ -193,8 +200,8 @@ def _needed_lines(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return materialize(got.groupBy("key").agg(*(F.min(c).alias(c) for c in ("text", "n", *SKETCHES))), "lines")
 
 
-#: Bands that one task sorts.
-PART_BANDS = 3_000_000
+#: Bands that one task sorts, and bands of a task below which the parts are fewer than the shuffle partitions.
+PART_BANDS, FEW_BANDS = 3_000_000, 1_000_000
 
 
 def line_links(docs: DataFrame, n_lines: int, k: int = 6, num: int = 75, den: int = 100, rows: int = 5, bands: int = 20) -> DataFrame:
@@ -202,14 +209,16 @@ def line_links(docs: DataFrame, n_lines: int, k: int = 6, num: int = 75, den: in
 
     Lines that share a band are candidates; parity sketches rule out pairs that cannot be similar.
     """
-    parts = max(1, shuffle_partitions(docs.sparkSession), -(-n_lines * bands // PART_BANDS))
+    total = n_lines * bands
+    parts = max(1, min(shuffle_partitions(docs.sparkSession), -(-total // FEW_BANDS)), -(-total // PART_BANDS))
     dealt = docs.mapInArrow(_bands(k, rows, bands, parts), "part int, keys binary, bands binary").repartitionById(parts, "part")
     found = materialize(dealt.mapInArrow(_meetings, "bucket long, a long, b long"), "candidates")
     larger = materialize(found.where("bucket is not null").select("bucket", F.col("a").alias("node")).distinct(), "buckets")
-    tiny = found.where("bucket is null").select("a", "b")
-    text = _needed_lines(docs, tiny.select(F.col("a").alias("key")).union(tiny.select("b")).union(larger.select("node")), k)
+    tiny = found.where("bucket is null").select("a", "b").distinct()  # similar lines share several bands
+    text = _needed_lines(docs, found.select(F.explode(F.array("a", "b")).alias("key")).where("key is not null"), k)
     sets = text.select(F.col("key").alias("node"), "n", *SKETCHES)
     tokens = text.select(F.col("key").alias("node"), F.col("text").alias("tokens"))
+    # buckets are named by their least line, so those of the same least line are one group already
     return bucket_links(tiny, larger, sets, lambda nodes: tokens.join(nodes, "node", "left_semi"), num, den, _similar(k, num, den))[0]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernels import _BACK, _BASE, _SPACE, U64, mix, word_hashes
+from .kernels import _BASE, _SPACE, U64, mix, word_hashes
 
 BINS_LOG = 7
 BINS = 1 << BINS_LOG
@@ -20,65 +20,97 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = np.searchsorted(cut, offsets[1:]) - np.searchsorted(cut, offsets[:-1]) + 1
     first = np.concatenate(([0], np.cumsum(rows)))
     ends = np.sort(np.concatenate((cut, offsets[1:])))
-    solid = np.flatnonzero(~_SPACE[data])
-    a = np.searchsorted(solid, starts)
-    b = np.searchsorted(solid, ends)
-    some = b > a
-    held = np.append(solid, 0)
-    starts = np.where(some, held[np.minimum(a, len(solid))], starts)
-    ends = np.where(some, held[np.maximum(b - 1, 0)] + 1, starts)
+    _strip(data, starts, ends)
     return starts, ends, first
 
 
+def _strip(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    """Moves starts and ends past outer whitespace, in place; a blank line becomes empty."""
+    left = np.flatnonzero(starts < ends)
+    for _ in range(8):
+        left = left[_SPACE[data[starts[left]]]]
+        starts[left] += 1
+        left = left[starts[left] < ends[left]]
+    right = np.flatnonzero(starts < ends)
+    for _ in range(8):
+        right = right[_SPACE[data[ends[right] - 1]]]
+        ends[right] -= 1
+        right = right[starts[right] < ends[right]]
+    if len(left) or len(right):  # long runs of whitespace
+        solid = np.append(np.flatnonzero(~_SPACE[data]), len(data))
+        starts[left] = np.minimum(solid[np.searchsorted(solid, starts[left])], ends[left])
+        right = right[starts[right] < ends[right]]
+        ends[right] = solid[np.searchsorted(solid, ends[right]) - 1] + 1
+
+
 def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit keys of lines (0 for blank ones)."""
     return np.where(ends > starts, word_hashes(data, starts, ends, lower=False), U64(0))
 
 
-def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-character shingles of lines and the line of each; a shorter line is one shingle."""
+def _characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each character, and the first and end characters of lines."""
+    if not (data & 0x80).any():
+        return data.astype(U64), starts, ends
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     code = data[heads].astype(U64)
     padded = np.concatenate((data, np.zeros(3, np.uint8)))
-    more = np.ones(len(heads), bool)
+    more = np.flatnonzero(code >= U64(0xC0))
     for j in range(1, 4):
-        more &= (padded[heads + j] & 0xC0) == 0x80
-        if not more.any():
-            break
-        code = np.where(more, (code << U64(8)) | padded[heads + j], code)
-    a, b = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-    n = len(heads)
-    power, back = _steps(n + 1)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum((code + U64(1)) * power[:n], out=total[1:])
+        more = more[(padded[heads[more] + j] & 0xC0) == 0x80]
+        code[more] = (code[more] << U64(8)) | padded[heads[more] + j]
+    return code, np.searchsorted(heads, starts), np.searchsorted(heads, ends)
+
+
+def _windows(code: np.ndarray, k: int) -> np.ndarray:
+    """Polynomials of the ``k`` characters from each place on, by doubling."""
+    held, size, half, width = None, 0, code, 1
+    while True:
+        step = U64(pow(int(_BASE), width, 1 << 64))
+        if k & width:
+            held = half if held is None else held[: max(0, len(held) - width)] * step + half[size:]
+            size += width
+        if size == k:
+            return held
+        half = half[: max(0, len(half) - width)] * step + half[width:]
+        width *= 2
+
+
+def _finish(x: np.ndarray) -> np.ndarray:
+    """Spreads polynomials over all bits, in place."""
+    x ^= x >> U64(32)
+    x *= U64(0x9FB21C651E98DF25)
+    x ^= x >> U64(32)
+    return x
+
+
+def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-character shingles of lines and the line of each; a shorter line is one shingle."""
+    code, a, b = _characters(data, starts, ends)
     # a hash for each place, then those of places where a shingle of some line begins
-    every = np.zeros(n, U64)
-    if n >= k:
-        every[: n - k + 1] = mix((total[k:] - total[:-k]) * back[: n - k + 1] + U64(k))
+    every = np.zeros(len(code), U64)
+    if len(code) >= k:
+        every[: len(code) - k + 1] = _finish(_windows(code, k) + U64(k))
     size = b - a
     short = np.flatnonzero((size > 0) & (size < k))
-    every[a[short]] = mix((total[b[short]] - total[a[short]]) * back[a[short]] + size[short].astype(U64))
+    if len(short):
+        own = np.zeros(len(short), U64)
+        for j in range(k - 1):
+            has = size[short] > j
+            own[has] = own[has] * _BASE + code[a[short[has]] + j]
+        every[a[short]] = _finish(own + size[short].astype(U64))
     count = np.where(size >= k, size - k + 1, (size > 0).astype(np.int64))
     line = np.repeat(np.arange(len(starts)), count)
+    if (a[1:] >= b[:-1]).all():
+        turn = np.zeros(len(code) + 1, np.int8)
+        some = count > 0
+        turn[a[some]] = 1
+        turn[(a + count)[some]] -= 1
+        return every[np.cumsum(turn[:-1], dtype=np.int8).view(bool)], line
     at = np.arange(count.sum()) + np.repeat(a - np.cumsum(count) + count, count)
     return every[at], line
 
 
-_HELD: list[np.ndarray] = []
-
-
-def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _HELD or len(_HELD[0]) < n:
-        both = []
-        for base in (_BASE, _BACK):
-            steps = np.full(max(n, 1 << 19), base, U64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _HELD[:] = both
-    return _HELD[0], _HELD[1]
-
-
 def _donors() -> tuple[np.ndarray, np.ndarray]:
     """For each bin an order of all bins, itself first, and the rank of each bin in that order."""
     at = np.arange(BINS * BINS, dtype=U64)
@@ -98,19 +130,26 @@ def band_hashes(shingles: np.ndarray, line: np.ndarray, n: int, rows: int, bands
     the bins, so bins of a line with few shingles are drawn independently.
     """
     empty = U64((1 << 64) - 1)
-    table = np.full(n * BINS, empty, U64)
-    np.minimum.at(table, line * BINS + (shingles >> U64(64 - BINS_LOG)).astype(np.int64), shingles)
-    table = table.reshape(n, BINS)
+    flat = np.full(n * BINS, empty, U64)
+    at = line * BINS
+    at += (shingles >> U64(64 - BINS_LOG)).view(np.int64)
+    np.minimum.at(flat, at, shingles)
+    table = flat.reshape(n, BINS)
     full = table != empty
     held = full.sum(1)
     # lines with few empty bins: each of these goes along its order, a step for all at once
-    row, bin_ = np.nonzero(~full & (held >= BINS // 4)[:, None])
+    void = ~full
+    void[held < BINS // 4] = False
+    void[:, rows * bands :] = False
+    place = np.flatnonzero(void)
+    bin_, full = place & (BINS - 1), full.ravel()
     step = 1
-    while len(row):
-        donor = _ORDER[bin_, step]
-        got = full[row, donor]
-        table[row[got], bin_[got]] = table[row[got], donor[got]]
-        row, bin_, step = row[~got], bin_[~got], step + 1
+    while len(place):
+        donor = place - bin_ + _ORDER[bin_, step]
+        got = full[donor]
+        flat[place[got]] = flat[donor[got]]
+        place, bin_, step = place[~got], bin_[~got], step + 1
+    full = full.reshape(n, BINS)
     # the others: the least rank among the full bins
     for size in np.unique(held[(held > 0) & (held < BINS // 4)]).tolist():
         same = np.flatnonzero(held == size)
@@ -124,5 +163,5 @@ def band_hashes(shingles: np.ndarray, line: np.ndarray, n: int, rows: int, bands
     salt = mix(np.arange(bands, dtype=U64) + U64(99))
     out = np.zeros((n, bands), U64)
     for r in range(rows):
-        out = mix(out * U64(3) + table[:, r * bands : (r + 1) * bands] + salt)
-    return out
+        out = out * _BASE + table[:, r * bands : (r + 1) * bands]
+    return mix(out + salt)

@@ -214,7 +214,7 @@ def pair_buckets(node: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den
     """
     if len(sig) == 0:
         return
-    order = np.argsort(sig, kind="stable")
+    order = np.argsort(sig)
     node, n, sig = node[order], n[order], sig[order]
     held = _held_twice(sig)
     node, n, sig = node[held], n[held], sig[held]
@@ -432,13 +432,12 @@ def compared(pairs: DataFrame, tokens: DataFrame, similar) -> DataFrame:
     return materialize(both.mapInArrow(similar, f"a {kind}, b {kind}"), "links")
 
 
-def bucket_links(tiny: DataFrame, larger: DataFrame, sets: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], num: int, den: int, similar) -> tuple[DataFrame, DataFrame]:
+def bucket_links(tiny: DataFrame, groups: DataFrame, sets: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], num: int, den: int, similar) -> tuple[DataFrame, DataFrame]:
     """(links, tokens): verified ``links(a, b)`` that join all similar sets that share a bucket.
 
-    ``tiny(a, b)`` are the pairs of small buckets, ``larger(bucket, node)`` the
-    members of the others; ``tokens_of(nodes)`` gives ``(node, tokens)`` of ``nodes(node)`` as the kernel ``similar`` takes them.
+    ``tiny(a, b)`` are the pairs of small buckets, ``groups(bucket, node)`` the distinct
+    members of the others, those of the same least node as one group (see ``grouped``); ``tokens_of(nodes)`` gives ``(node, tokens)`` of ``nodes(node)`` as the kernel ``similar`` takes them.
     """
-    groups = grouped(larger)
     stars = materialize(likely_pairs(hub_pairs(groups), sets, num, den), "stars")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     tokens = tokens_of(ends(stars))
@@ -484,7 +483,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     larger = materialize(found.where("bucket is not null").select("bucket", "a").distinct().join(addr, "a").select("bucket", "node"), "buckets")
     tiny = found.where("bucket is null").select("a", "b").distinct().join(addr.toDF("a", "x"), "a").join(addr.toDF("b", "y"), "b")
     tiny = tiny.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links, tokens = bucket_links(tiny, larger, sets, lambda nodes: node_tokens(docs, members, nodes, k), num, den, similar_sets(num, den))
+    links, tokens = bucket_links(tiny, grouped(larger), sets, lambda nodes: node_tokens(docs, members, nodes, k), num, den, similar_sets(num, den))
     return members, links, tokens
 
 
